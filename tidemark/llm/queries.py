@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import tables
 
@@ -25,6 +26,101 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_randomness_secret_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.secret_scan import secrets, span_text
+
+    found = secrets(tables(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
+@query("op2_information_theoretic_pii")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pii import KINDS, personal_data
+    from tidemark.llm.secret_scan import span_text
+
+    found = personal_data(tables(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    added = F.transform("terms", lambda x: F.struct(F.lit(4).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    counts = [of(k).alias(f"n_{KINDS[k]}") for k in range(4)]
+    return found.select("doc_id", *counts, F.sha2(span_text(F.col("base"), KINDS), 256).alias("base_sha256"), span_text(F.concat("base", added), KINDS).alias("spans"))
+
+
+@query("op3_centroid_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.language_id import held_out, identified, learn
+
+    docs = tables(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = learn(docs.where(~held_out(F.col("doc_id"))))
+    return identified(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op4_sainte_lague_mixing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mixing import mixed_documents
+
+    return mixed_documents(tables(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(
+    "op5_window_line_dedup",
+    r"""
+    WITH lines AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS l FROM documents),
+    win AS (SELECT doc_id, unnest(range(0, len(l) - 2)) AS p, l FROM lines WHERE len(l) >= 3),
+    keyed AS (SELECT doc_id, p, l[p + 1 : p + 3] AS w FROM win WHERE trim(l[p + 1]) <> '' OR trim(l[p + 2]) <> '' OR trim(l[p + 3]) <> ''),
+    ranked AS (SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS r FROM keyed),
+    gone AS (SELECT DISTINCT doc_id, unnest([p, p + 1, p + 2]) AS p FROM ranked WHERE r > 1),
+    per AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+    SELECT lines.doc_id, CAST(len(l) AS INTEGER) AS n_lines, CAST(coalesce(len(ps), 0) AS INTEGER) AS n_removed,
+        CASE WHEN ps IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(0, len(l)), lambda k: NOT list_contains(ps, k)), lambda k: l[k + 1]), chr(10)) END AS text
+    FROM lines LEFT JOIN per USING (doc_id)
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.line_dedup import line_dedup
+
+    return line_dedup(tables(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query("op7_wav_fingerprints")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.media import media_columns
+
+    out = media_columns(tables(spark, sf_dir, "documents").select("doc_id", "text"))
+    coded = F.concat_ws(",", F.transform(F.arrays_zip("times", "hashes"), lambda x: F.concat_ws(":", x["times"].cast("string"), x["hashes"].cast("string"))))
+    return out.withColumn("feature", F.concat_ws("|", F.size("hashes").cast("string"), F.sha2(coded, 256))).drop("times", "hashes")
+
+
+@query("op8_conditional_compression_licenses")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.license_scan import license_scan
+
+    found = license_scan(tables(spark, sf_dir, "documents").select("doc_id", "text"))
+    named = F.transform("found", lambda x: F.concat_ws(":", x["license"], x["s"].cast("string"), x["e"].cast("string")))
+    exact = F.size(F.filter("found", lambda x: F.size(x["differences"]) == 0)).cast("long")
+    return found.select("doc_id", F.size("found").cast("long").alias("n_licenses"), exact.alias("n_exact"), F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["license"]))), ",").alias("licenses"), F.array_join(named, ",").alias("spans"))
+
+
+@query(
+    "op9_containment_decontamination",
+    r"""
+    WITH texts AS (SELECT doc_id AS id, 0 AS side, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
+        UNION ALL SELECT item_id, 1, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark),
+    sets AS (SELECT id, side, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k : k + 4], ' '))) END AS s FROM texts),
+    flat AS (SELECT id, side, len(s) AS n, unnest(s) AS g FROM sets)
+    SELECT d.id AS doc_id, i.id AS item_id, CAST(i.n AS BIGINT) AS n_shingles, count(*) AS n_shared, count(*) / i.n AS containment
+    FROM flat d JOIN flat i ON d.g = i.g AND d.side = 0 AND i.side = 1 GROUP BY d.id, i.id, i.n HAVING 5 * count(*) >= 4 * i.n
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontamination import leaks
+
+    found = leaks(tables(spark, sf_dir, "documents").select("doc_id", "text"), tables(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_shingles", "n_shared", "containment")
+
+
 @query(
     "op10_odd_sketch_near_dedup",
     f"""
