@@ -67,6 +67,18 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def join_hot(rows: DataFrame, counted: DataFrame, keys: list[str], count_col: str, share: float = 1e-5, least: int = 1000) -> DataFrame:
+    """Inner join of rows with counted, which has a row for each key and in count_col how many of rows have it.
+
+    Keys of more than `share` of all those rows (at most 1 / share keys, so a bounded table) are broadcast: a key of a
+    third of all rows never meets in one task. counted is read several times.
+    """
+    total = counted.agg(F.sum(count_col)).first()[0] or 0
+    hot = F.col(count_col) > max(least, int(total * share))
+    heavy, light = F.broadcast(counted.where(hot)), counted.where(~hot)
+    return rows.join(heavy, keys).unionByName(rows.join(F.broadcast(counted.where(hot).select(*keys)), keys, "left_anti").join(light, keys))
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

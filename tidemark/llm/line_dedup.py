@@ -10,10 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
-
-#: Windows in more than this share of all window rows, but HEAVY_ROWS at least, are joined by broadcast: at most 1 / share of them exist.
-HEAVY_SHARE, HEAVY_ROWS = 1e-5, 1000
+from tidemark.llm.common import join_hot, staged
 
 
 def lines_of(text: Column) -> Column:
@@ -37,12 +34,7 @@ def later_windows(found: DataFrame) -> DataFrame:
     """(id, rid, at) of the windows that an earlier one equals. found is read more than once."""
     place = F.struct("id", "rid", "at")
     again = staged(found.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("m")).where("m > 1"), "again")
-    total = again.agg(F.sum("m")).first()[0] or 0
-    bound = max(HEAVY_ROWS, int(total * HEAVY_SHARE))
-    # A window of a third of all rows never meets in one task: it is among the few that are broadcast.
-    heavy, light = again.where(F.col("m") > bound), again.where(F.col("m") <= bound)
-    keys = ["w1", "w2"]
-    late = found.join(F.broadcast(heavy.drop("m")), keys).unionByName(found.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light.drop("m"), keys))
+    late = join_hot(found, again, ["w1", "w2"], "m").drop("m")
     # Copies of a row (same id and text) share one place, so the first stays in each.
     return late.where(~F.struct("id", "rid", "at").eqNullSafe(F.col("first"))).select("id", "rid", "at")
 

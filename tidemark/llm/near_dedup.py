@@ -140,19 +140,19 @@ def odd_similarity(a: Column, b: Column, k: int = BANDS * ROWS, bits: int = BITS
     return F.when(left > 0, 1.0 + F.log(left) * (bits / (4.0 * k))).otherwise(0.0)
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, sets, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sketches: DataFrame, sets, percent: int, estimate=odd_similarity, slack: float = SLACK) -> DataFrame:
     """Pairs (a, b) whose full sets reach the similarity. Sizes and sketches thin them first."""
     side = lambda s: sketches.select(F.col("node").alias(s), F.col("odd").alias(f"odd_{s}"), F.col("n_shingles").alias(f"n_{s}"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b")
     likely = likely.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    likely = staged(likely.where(odd_similarity(F.col("odd_a"), F.col("odd_b")) >= percent / 100 - SLACK).select("a", "b", "n_a", "n_b"), "likely")
+    likely = staged(likely.where(estimate(F.col("odd_a"), F.col("odd_b")) >= percent / 100 - slack).select("a", "b", "n_a", "n_b"), "likely")
     grams = sets(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
     full = likely.join(grams.select(F.col("node").alias("b"), F.col("grams").alias("g_b")), "b").join(grams.select(F.col("node").alias("a"), F.col("grams").alias("g_a")), "a")
     both = full.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), F.size(F.array_intersect("g_a", "g_b")).alias("i"))
     return both.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b")
 
 
-def linked(sketches: DataFrame, sets, percent: int) -> DataFrame:
+def linked(sketches: DataFrame, sets, percent: int, **kw) -> DataFrame:
     """Links (a, b) that join all nodes within the similarity, found through bands, odd sketches and full sets.
 
     sketches: (node, n_shingles, bands, odd), one row a node. sets: nodes (node) -> (node, grams).
@@ -162,7 +162,7 @@ def linked(sketches: DataFrame, sets, percent: int) -> DataFrame:
     shared = rows.groupBy("band", "value").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1")
     members = staged(rows.join(shared, ["band", "value"]).select("band", "value", "node", "pivot"), "buckets")
     pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = [staged(_confirmed(pairs, sketches, sets, percent), "links")]
+    links = [staged(_confirmed(pairs, sketches, sets, percent, **kw), "links")]
     rest = members.where("node <> pivot").drop("pivot")
     turn = 0
     while True:
@@ -187,7 +187,7 @@ def linked(sketches: DataFrame, sets, percent: int) -> DataFrame:
         side = pivots.select("band", "value", F.col("node").alias("p"), F.col("component").alias("c"), F.col("rank").alias("r"))
         met = ranked.join(side, ["band", "value"]).where("rank > r and component <> c")
         pairs = met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        links.append(staged(_confirmed(pairs, sketches, sets, percent), "links"))
+        links.append(staged(_confirmed(pairs, sketches, sets, percent, **kw), "links"))
         rest = staged(ranked.where(F.col("rank") > F.greatest(F.lit(1), F.floor(F.lit(ROUND_PAIRS) / F.col("m")))).select("node", "band", "value"), "rest")
         dropped(ranked)
 

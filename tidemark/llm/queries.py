@@ -83,6 +83,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(tables(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+@query("op6_paragraph_substring_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document with repeated paragraphs: what goes, and the documents whose paragraphs it repeats."""
+    from tidemark.llm.substring_dedup import repeated_paragraphs, runs_of
+
+    found = repeated_paragraphs(tables(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.when(~F.col("kept"), F.struct("s", "e"))
+    per = found.groupBy(F.col("id").alias("doc_id")).agg(F.array_sort(F.collect_set(gone)).alias("g"), F.array_sort(F.collect_set("first_id")).alias("first_doc_ids"))
+    per = per.withColumn("r", runs_of(F.col("g")))
+    text = F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["s"].cast("string"), x["e"].cast("string"))), ",")
+    return per.select("doc_id", F.size("r").cast("long").alias("n_removed"), text.alias("removed"), "first_doc_ids")
+
+
 @query("op7_wav_fingerprints")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.media import media_columns
