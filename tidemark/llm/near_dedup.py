@@ -152,7 +152,7 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, sets, percent: int, estima
     return both.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b")
 
 
-def linked(sketches: DataFrame, sets, percent: int, **kw) -> DataFrame:
+def linked(sketches: DataFrame, sets, percent: int, round_pairs: int = ROUND_PAIRS, **kw) -> DataFrame:
     """Links (a, b) that join all nodes within the similarity, found through bands, odd sketches and full sets.
 
     sketches: (node, n_shingles, bands, odd), one row a node. sets: nodes (node) -> (node, grams).
@@ -182,13 +182,13 @@ def linked(sketches: DataFrame, sets, percent: int, **kw) -> DataFrame:
         # One node more than is needed does no harm: pivots are taken in a seeded order that differs by band.
         order = Window.partitionBy("band", "value").orderBy(F.xxhash64(F.lit(turn), "band", "node"), "node")
         ranked = staged(at.withColumn("rank", F.row_number().over(order)), "ranked")
-        pivots = ranked.where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.lit(ROUND_PAIRS) / F.col("m"))))
+        pivots = ranked.where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.lit(round_pairs) / F.col("m"))))
         dropped(at)
         side = pivots.select("band", "value", F.col("node").alias("p"), F.col("component").alias("c"), F.col("rank").alias("r"))
         met = ranked.join(side, ["band", "value"]).where("rank > r and component <> c")
         pairs = met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
         links.append(staged(_confirmed(pairs, sketches, sets, percent, **kw), "links"))
-        rest = staged(ranked.where(F.col("rank") > F.greatest(F.lit(1), F.floor(F.lit(ROUND_PAIRS) / F.col("m")))).select("node", "band", "value"), "rest")
+        rest = staged(ranked.where(F.col("rank") > F.greatest(F.lit(1), F.floor(F.lit(round_pairs) / F.col("m")))).select("node", "band", "value"), "rest")
         dropped(ranked)
 
 

@@ -33,6 +33,12 @@ _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 
 
+#: MinHash values of a band. With one, every paragraph that holds some frequent line meets all the others that do.
+ROWS = 3
+#: Pairs that one bucket may emit in one round.
+ROUND_PAIRS = 32_768
+
+
 def tuned_bands(similarity: float, recall: float, rows: int = 1) -> int:
     """The least number of bands at which a pair of this similarity shares one with at least this chance."""
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
@@ -118,7 +124,10 @@ class Paragraphs:
                 place = np.arange(long.sum()) - np.repeat(cut_w, long)
                 word = h[place + np.repeat(a, long)]
                 keys = [np.add.reduceat(mixed(word + base * (place + 1).astype(np.uint64)), cut_w) for base in _BASES]
-                bands = low[: self.bands].T.astype(np.int64)
+                bands = np.zeros((len(a), self.bands), np.uint64)
+                for r in range(ROWS):
+                    bands = mixed(bands * _BASES[0] + low[r : r + self.bands * ROWS : ROWS].T.astype(np.uint64) + np.uint64(r + 1))
+                bands = bands.view(np.int64)
                 for i in range(len(a)):
                     yield int(starts[a[i]]), int(ends[b[i] - 1]), f"{int(keys[0][i]):016x}{int(keys[1][i]):016x}", int(n[i]), bands[i], odd[i : i + 1]
 
@@ -188,12 +197,12 @@ def repeated_paragraphs(docs: DataFrame, words: int = 5, percent: int = 80, reca
     empty and short texts (under LEAST words) have no paragraphs. A row that repeats (id and text) counts once; null
     ids come first; other columns aren't looked at; no rows give none. Every text is cut as a whole.
     """
-    bands = tuned_bands(percent / 100, recall)
+    bands = tuned_bands(percent / 100, recall, ROWS)
     found = staged(paragraphs(docs, words, bands, id_col, text_col).dropDuplicates(["id", "rid", "s"]), "paragraphs")
     place = F.struct("id", "rid", "s")
     reps = found.groupBy("key").agg(F.min(F.struct("id", "rid", "s", "e", "n", "bands", "odd")).alias("x"), F.count("*").alias("m"))
     reps = staged(reps.select(F.col("key").alias("node"), F.struct("x.id", "x.rid", "x.s").alias("rep"), "x.e", F.col("x.n").alias("n_shingles"), "x.bands", "x.odd", "m"), "classes")
-    links = linked(reps, _sets_of(docs, reps.select("node", "rep", "e"), words, id_col, text_col), percent, estimate=_estimate, slack=0.35)
+    links = linked(reps, _sets_of(docs, reps.select("node", "rep", "e"), words, id_col, text_col), percent, round_pairs=ROUND_PAIRS, estimate=_estimate, slack=0.35)
     label = components(links)
     at = reps.select("node", "rep", "m").join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     groups = at.groupBy("c").agg(F.min("rep").alias("first"), F.sum("m").alias("total")).where("total > 1")
