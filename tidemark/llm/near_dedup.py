@@ -158,9 +158,11 @@ def linked(sketches: DataFrame, sets, percent: int, round_pairs: int = ROUND_PAI
     sketches: (node, n_shingles, bands, odd), one row a node. sets: nodes (node) -> (node, grams).
     A link may be left out only where others already join its ends.
     """
-    rows = sketches.select("node", F.posexplode("bands").alias("band", "value"))
-    shared = rows.groupBy("band", "value").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1")
-    members = staged(rows.join(shared, ["band", "value"]).select("band", "value", "node", "pivot"), "buckets")
+    rows = sketches.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("value"))
+    # Values are counted by themselves first: two longs a row, added up in memory, and most values stand alone.
+    shared = rows.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value")
+    buckets = staged(rows.join(shared, "value"), "buckets")
+    members = buckets.join(buckets.groupBy("value").agg(F.min("node").alias("pivot")), "value")
     pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = [staged(_confirmed(pairs, sketches, sets, percent, **kw), "links")]
     rest = members.where("node <> pivot").drop("pivot")
@@ -172,23 +174,23 @@ def linked(sketches: DataFrame, sets, percent: int, round_pairs: int = ROUND_PAI
             found = found.union(more)
         label = components(found)
         at = rest.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = at.groupBy("band", "value").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "value", "m")
-        at = staged(at.join(open_, ["band", "value"]), "open")
+        open_ = at.groupBy("value").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value", "m")
+        at = staged(at.join(open_, "value"), "open")
         if turn > 1:
             dropped(rest)
         if at.isEmpty():
-            dropped(members)
+            dropped(buckets)
             return found
         # One node more than is needed does no harm: pivots are taken in a seeded order that differs by band.
-        order = Window.partitionBy("band", "value").orderBy(F.xxhash64(F.lit(turn), "band", "node"), "node")
+        order = Window.partitionBy("value").orderBy(F.xxhash64(F.lit(turn), "value", "node"), "node")
         ranked = staged(at.withColumn("rank", F.row_number().over(order)), "ranked")
         pivots = ranked.where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.lit(round_pairs) / F.col("m"))))
         dropped(at)
-        side = pivots.select("band", "value", F.col("node").alias("p"), F.col("component").alias("c"), F.col("rank").alias("r"))
-        met = ranked.join(side, ["band", "value"]).where("rank > r and component <> c")
+        side = pivots.select("value", F.col("node").alias("p"), F.col("component").alias("c"), F.col("rank").alias("r"))
+        met = ranked.join(side, "value").where("rank > r and component <> c")
         pairs = met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
         links.append(staged(_confirmed(pairs, sketches, sets, percent, **kw), "links"))
-        rest = staged(ranked.where(F.col("rank") > F.greatest(F.lit(1), F.floor(F.lit(round_pairs) / F.col("m")))).select("node", "band", "value"), "rest")
+        rest = staged(ranked.where(F.col("rank") > F.greatest(F.lit(1), F.floor(F.lit(round_pairs) / F.col("m")))).select("node", "value"), "rest")
         dropped(ranked)
 
 
