@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,6 @@ SAMPLES = 24
 _STOP, _SIGNS = re.compile(r"[.!?]\W*$"), re.compile(r"\W+")
 #: A sentence of fewer words starts no paragraph, as the next one would be nearly the same.
 SHORT = 4
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 
 
@@ -47,11 +47,12 @@ def tuned_bands(similarity: float, recall: float, rows: int = 1) -> int:
 class _Words(dict):
     """Hashes of words without case and signs; the lowest bit tells whether a sentence ends there."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, token: bytes) -> int:
         if len(self) >= 200_000:
             self.clear()
+        word = token.decode("utf-8", "surrogatepass")
         plain = _SIGNS.sub("", word.lower())
-        value = self[word] = xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) >> 1 << 1 | bool(_STOP.search(word))
+        value = self[token] = xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) >> 1 << 1 | bool(_STOP.search(word))
         return value
 
 
@@ -67,19 +68,19 @@ class Paragraphs:
 
     def cut(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(hashes of the words, code points of their starts and ends, first and last words of the paragraphs, ends exclusive)."""
-        found = list(_TOKEN.finditer(text))
+        tokens = text.encode("utf-8", "surrogatepass").split()  # bytes split at ASCII space alone
         none = np.empty(0, np.int64)
-        if len(found) < self.least:
+        if len(tokens) < self.least:
             return np.empty(0, np.uint64), none, none, none, none
-        tokens = [m[0] for m in found]
         h = np.fromiter(map(self.memo.__getitem__, tokens), np.uint64, len(tokens))
-        starts = np.fromiter((m.start() for m in found), np.int64, len(found))
-        ends = np.fromiter((m.end() for m in found), np.int64, len(found))
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = np.zeros(len(points) + 2, np.int8)
+        inside[1:-1] = (points != 32) & ((points < 9) | (points > 13))
+        turn = np.diff(inside)
+        starts, ends = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
         stop, h = (h & np.uint64(1)).astype(bool), h >> np.uint64(1)
-        for m in re.finditer("\n", text):  # a line ends a sentence too
-            k = int(np.searchsorted(starts, m.start())) - 1
-            if k >= 0:
-                stop[k] = True
+        before = np.searchsorted(starts, np.flatnonzero(points == 10)) - 1  # a line ends a sentence too
+        stop[before[before >= 0]] = True
         stop[-1] = True
         begin = np.flatnonzero(np.concatenate([[True], stop[:-1]]))
         begin = begin[np.diff(np.append(begin, len(h))) >= SHORT]
@@ -101,7 +102,7 @@ class Paragraphs:
         return out
 
     def rows(self, text: str) -> Iterator[tuple]:
-        """(s, e, key, n, bands, odd) of each paragraph, a bounded number of paragraphs at once."""
+        """Arrays (s, e, key, n, bands, odd) of a bounded number of paragraphs at once; key has two columns."""
         h, starts, ends, first, last = self.cut(text)
         if not len(first):
             return
@@ -127,30 +128,40 @@ class Paragraphs:
                 bands = np.zeros((len(a), self.bands), np.uint64)
                 for r in range(ROWS):
                     bands = mixed(bands * _BASES[0] + low[r : r + self.bands * ROWS : ROWS].T.astype(np.uint64) + np.uint64(r + 1))
-                bands = bands.view(np.int64)
-                for i in range(len(a)):
-                    yield int(starts[a[i]]), int(ends[b[i] - 1]), f"{int(keys[0][i]):016x}{int(keys[1][i]):016x}", int(n[i]), bands[i], odd[i : i + 1]
+                yield starts[a], ends[b - 1], np.stack(keys, axis=1), n, bands, odd
 
 
 def paragraphs(docs: DataFrame, words: int, bands: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, rid, s, e, key, n, bands, odd): the paragraphs of each text; key is a 128-bit hash of its words in order."""
+    """(id, rid, s, e, key, n, bands, odd): the paragraphs of each text; key is a 128-bit hash of its words in order. A row that repeats gives its paragraphs again."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cutter, names = Paragraphs(words, bands), ["id", "rid", "s", "e", "key", "n", "bands", "odd"]
-        for pdf in batches:
-            out: list[tuple] = []
-            for i, rid, text in zip(pdf["id"], pdf["rid"], pdf["text"], strict=True):
-                for row in cutter.rows(text):
-                    out.append((i, rid, *row))
-                    if len(out) >= 8192:
-                        yield pd.DataFrame(out, columns=names)
-                        out = []
-            if out:
-                yield pd.DataFrame(out, columns=names)
+    def table(ids: pa.Array, rids: pa.Array, at: list[int], parts: list[tuple]) -> pa.RecordBatch:
+        s, e, keys, n, values, odd = (np.concatenate(x) for x in zip(*parts, strict=True))
+        place, rows = pa.array(at), len(s)
+        offsets = lambda k: np.arange(0, (rows + 1) * k, k, dtype=np.int32)
+        named = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets(16)), pa.py_buffer(np.ascontiguousarray(keys))])
+        lists = pa.ListArray.from_arrays(offsets(bands), values.view(np.int64).ravel())
+        columns = [ids.take(place), rids.take(place), s.astype(np.int32), e.astype(np.int32), named, n.astype(np.int32), lists, pa.ListArray.from_arrays(offsets(1), odd)]
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], ["id", "rid", "s", "e", "key", "n", "bands", "odd"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Paragraphs(words, bands)
+        for batch in batches:
+            ids, rids, texts = batch.columns
+            at: list[int] = []
+            parts: list[tuple] = []
+            for k, text in enumerate(texts):
+                for part in cutter.rows(text.as_py()):
+                    at += [k] * len(part[0])
+                    parts.append(part)
+                    if len(at) >= 8192:
+                        yield table(ids, rids, at, parts)
+                        at, parts = [], []
+            if at:
+                yield table(ids, rids, at, parts)
 
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("rid"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, rid long, s int, e int, key string, n int, bands array<long>, odd array<long>")
+    return rows.mapInArrow(run, f"id {kind}, rid long, s int, e int, key binary, n int, bands array<long>, odd array<long>")
 
 
 def _sets_of(docs: DataFrame, reps: DataFrame, words: int, id_col: str, text_col: str):
@@ -162,7 +173,7 @@ def _sets_of(docs: DataFrame, reps: DataFrame, words: int, id_col: str, text_col
             for text, wanted in zip(pdf["text"], pdf["wanted"], strict=True):
                 keys, sets = [], []
                 for w in wanted:
-                    h = [memo[t] >> 1 for t in _TOKEN.findall(text[w["s"] : w["e"]])]
+                    h = [memo[t] >> 1 for t in text[w["s"] : w["e"]].encode("utf-8", "surrogatepass").split()]
                     keys.append(w["node"])
                     sets.append(np.unique(gram_hashes(h, words, _Same())).view(np.int64))
                 yield pd.DataFrame({"node": keys, "grams": sets})
@@ -172,7 +183,7 @@ def _sets_of(docs: DataFrame, reps: DataFrame, words: int, id_col: str, text_col
         wanted = small(staged(wanted, "wanted"), 50_000)
         rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("rid"), F.col(text_col).alias("text"))
         read = rows.join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("rid") == F.col("r"))).select("text", "wanted")
-        found = read.mapInPandas(run, "node string, grams array<long>")
+        found = read.mapInPandas(run, "node binary, grams array<long>")
         return staged(found.dropDuplicates(["node"]), "grams")  # a row that repeats gives its sets twice
 
     return sets
@@ -198,7 +209,7 @@ def repeated_paragraphs(docs: DataFrame, words: int = 5, percent: int = 80, reca
     ids come first; other columns aren't looked at; no rows give none. Every text is cut as a whole.
     """
     bands = tuned_bands(percent / 100, recall, ROWS)
-    found = staged(paragraphs(docs, words, bands, id_col, text_col).dropDuplicates(["id", "rid", "s"]), "paragraphs")
+    found = staged(paragraphs(docs, words, bands, id_col, text_col), "paragraphs")
     place = F.struct("id", "rid", "s")
     reps = found.groupBy("key").agg(F.min(F.struct("id", "rid", "s", "e", "n", "bands", "odd")).alias("x"), F.count("*").alias("m"))
     reps = staged(reps.select(F.col("key").alias("node"), F.struct("x.id", "x.rid", "x.s").alias("rep"), "x.e", F.col("x.n").alias("n_shingles"), "x.bands", "x.odd", "m"), "classes")
@@ -207,7 +218,9 @@ def repeated_paragraphs(docs: DataFrame, words: int = 5, percent: int = 80, reca
     at = reps.select("node", "rep", "m").join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     groups = at.groupBy("c").agg(F.min("rep").alias("first"), F.sum("m").alias("total")).where("total > 1")
     classes = staged(at.join(groups, "c").select(F.col("node").alias("key"), "first", "m"), "groups")
-    each = staged(join_hot(found.select("id", "rid", "s", "e", "key"), classes, ["key"], "m").select("id", "rid", "s", "e", "first"), "occurrences")
+    # Rows that repeat have counted twice so far; from here on each place counts once, and a group of one place drops out below.
+    each = join_hot(found.select("id", "rid", "s", "e", "key"), classes, ["key"], "m").select("id", "rid", "s", "e", "first")
+    each = staged(each.dropDuplicates(["id", "rid", "s"]), "occurrences")
     # What overlaps the first paragraph in its own text is no repeat of it.
     own = F.struct("id", "rid").eqNullSafe(F.struct("first.id", "first.rid"))
     firsts = each.where(own).groupBy("first").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("x"))
