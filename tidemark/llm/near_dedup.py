@@ -160,8 +160,9 @@ def linked(sketches: DataFrame, sets, percent: int, round_pairs: int = ROUND_PAI
     """
     rows = sketches.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("value"))
     # Values are counted by themselves first: two longs a row, added up in memory, and most values stand alone.
-    shared = rows.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value")
-    buckets = staged(rows.join(shared, "value"), "buckets")
+    shared = staged(rows.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value"), "shared")
+    buckets = staged(rows.join(small(shared), "value"), "buckets")
+    dropped(shared)
     members = buckets.join(buckets.groupBy("value").agg(F.min("node").alias("pivot")), "value")
     pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = [staged(_confirmed(pairs, sketches, sets, percent, **kw), "links")]
