@@ -1,22 +1,27 @@
 """License scan by conditional compression.
 
-Texts are cut into units (lines; sentences of long lines). Units with a word of licensing are candidates, alone and
-with their neighbours as one block. A block is compressed plainly and with each template as zstandard raw dictionary;
-the templates are ranked by the share that they save, and the first is confirmed by its exact differences in wording.
+Every place of a text whose words can be a template's is looked at: a wording that confirms leaves enough of the
+template's runs of three words whole, and those runs place it, whatever the lines and sentences around. The words of
+the place are compressed plainly and with the template as zstandard raw dictionary; where templates meet, the one that
+covers most words stands.
 """
 
 from __future__ import annotations
 
 import difflib
+import pkgutil
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Short notices and opening paragraphs of public licenses, as their owners word them.
+# Short notices, opening paragraphs and full texts of public licenses, as their owners word them.
+_FULL = ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "CC0-1.0")
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -39,53 +44,27 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    *((name, pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode()) for name in _FULL),
 )
-_HINT = re.compile(r"(?i)licen[cs]|permission|redistribut|free software|public domain|creative commons|\bCC BY|spdx")
-_WORD = re.compile(r"[\w.+-]*\w")
-_SENTENCE = re.compile(r"(?<=[.!?:;])\s+")
-#: Lines longer than LONG are cut at sentence ends; a block's units lie at most GAP units apart.
-LONG, GAP = 300, 1
-#: The first template must save MIN_GAIN of a block; of its words at most DIFFER may be missing, altered or put in.
+_WORD = re.compile(r"\w++(?:[.+-]++\w++)*+")
+#: Words of a run that places a template.
+RUN = 3
+#: A template must save MIN_GAIN of the words it covers; of its words at most DIFFER may be missing, altered or put in.
 MIN_GAIN, DIFFER = 0.25, 0.15
 
 
-def units(text: str) -> Iterator[tuple[int, int]]:
-    at = 0
-    for line in text.split("\n"):
-        if len(line) <= LONG:
-            yield at, at + len(line)
-        else:
-            s = 0
-            for m in _SENTENCE.finditer(line):
-                yield at + s, at + m.start()
-                s = m.end()
-            yield at + s, at + len(line)
-        at += len(line) + 1
-
-
-def blocks(text: str, longest: int = 2000) -> list[tuple[int, int]]:
-    """Candidate units, and the joined runs of them up to a length of `longest`, which no notice has."""
-    if not _HINT.search(text):
-        return []
-    out, run, last = [], [], None
-    for k, (s, e) in enumerate(units(text)):
-        if not _HINT.search(text, s, e):
-            continue
-        out.append((s, e))
-        if last is not None and k - last > GAP + 1:
-            run = []
-        run.append((s, e))
-        last = k
-        while run and e - run[0][0] > longest:
-            run.pop(0)
-        if len(run) > 1:
-            out.append((run[0][0], e))
-    return out
+def _gap(one: difflib.Match, two: difflib.Match, words: bool = True) -> int:
+    """Words that differ between two matching runs; without words, those of the template alone."""
+    missing = two.a - one.a - one.size
+    return max(missing, two.b - one.b - one.size) if words else missing
 
 
 def wording(template: list[str], words: list[str]) -> tuple[int, int, list[tuple[int, int, int, int]]]:
     """Of the best place in words: where it starts and ends, and the parts (i, j, k, l) where template[i:j] reads words[k:l]."""
     same = [m for m in difflib.SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if m.size]
+    for end, step in ((-1, -2), (0, 1)):  # words at an edge that cost more to reach than to miss
+        while len(same) > 1 and _gap(*sorted((same[end], same[step]))) >= (_gap(*sorted((same[end], same[step])), words=False) + same[end].size):
+            same.pop(end)
     if not same:
         return 0, 0, [(0, len(template), 0, 0)]
     first, last = same[0], same[-1]
@@ -102,51 +81,101 @@ def wording(template: list[str], words: list[str]) -> tuple[int, int, list[tuple
 
 
 class Scanner:
-    """Compressors of the templates, built once a task."""
+    """Runs of words and compressors of the templates, built once a task."""
 
     def __init__(self, templates=TEMPLATES, level: int = 9) -> None:
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
-        self.longest = 2 * max(len(t) for _, t in templates)
         self.templates = [(name, [w.lower() for w in _WORD.findall(t)]) for name, t in templates]
-        raw = [zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for _, t in templates]
+        raw = [zstandard.ZstdCompressionDict(" ".join(t).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for _, t in self.templates]
         self.given = [zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False) for d in raw]
-
-    def ranked(self, block: str) -> list[tuple[float, int]]:
-        """(gain, template), the greatest saving first; ties by place in the list."""
-        data = block.encode("utf-8", "surrogatepass")
-        plain = len(self.plain.compress(data))
-        return sorted(((1 - len(c.compress(data)) / plain, k) for k, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
-
-    def confirmed(self, block: str) -> tuple | None:
-        """(license, gain, start, end, differences) of the first template that the wording confirms, among those that tie or nearly tie."""
-        order = self.ranked(block)
-        found = list(_WORD.finditer(block))
-        words = [m[0].lower() for m in found]
-        best = order[0][0]
-        hits = []
-        for gain, k in order:
-            if gain < MIN_GAIN or gain < best - 0.1:
-                break
-            name, template = self.templates[k]
-            s, e, odd = wording(template, words)
-            n = sum(max(j - i, m - l) for i, j, l, m in odd)
-            if e > s and n <= DIFFER * len(template):
-                diff = ["-" + " ".join(template[i:j]) + " +" + " ".join(words[l:m]) for i, j, l, m in odd]
-                hits.append((n / len(template), -gain, k, (name, gain, found[s].start(), found[e - 1].end(), diff)))
-        return min(hits)[3] if hits else None
+        self.edits = [int(DIFFER * len(t)) for _, t in self.templates]
+        self.at: dict[int, dict[tuple, list]] = defaultdict(lambda: defaultdict(list))  # run length -> run -> (template, place)
+        for k, (_, t) in enumerate(self.templates):
+            q = min(RUN, len(t))
+            for o in range(len(t) - q + 1 if t else 0):
+                self.at[q][tuple(t[o : o + q])].append((k, o))
+
+    def gain(self, words: list[str], k: int) -> float:
+        """The share of the bytes of words that template k saves."""
+        data = " ".join(words).encode("utf-8", "surrogatepass")
+        return 1 - len(self.given[k].compress(data)) / len(self.plain.compress(data))
+
+    def places(self, words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[tuple[int, int]]]]:
+        """(template, starts, offsets, windows) where enough runs of a template lie whole, the fullest window first.
+
+        An edit breaks at most q runs of q words and moves those after it by a word. So a wording within DIFFER keeps at
+        least n - q + 1 - q * edits runs, all within 2 * edits of one another, counted from where the template would start.
+        """
+        for q, runs in self.at.items():
+            grams = [words[i:] for i in range(q)]
+            if runs.keys().isdisjoint(zip(*grams)):
+                continue
+            hits = defaultdict(list)
+            for p, g in enumerate(zip(*grams)):
+                for k, o in runs.get(g, ()):
+                    hits[k].append((p - o, o))
+            for k, found in hits.items():
+                most, need = self.edits[k], self.need(k)
+                if len(found) < need:
+                    continue
+                found.sort()
+                windows, count, high, seen = [], defaultdict(int), 0, 0
+                for low, (s, o) in enumerate(found):
+                    while high < len(found) and found[high][0] <= s + 2 * most:
+                        count[found[high][1]] += 1
+                        high += 1
+                    if high > seen and len(count) >= need:  # else an earlier window holds this one
+                        windows.append((-len(count), low, high))
+                    seen = max(seen, high)
+                    count[o] -= 1
+                    if not count[o]:
+                        del count[o]
+                at = np.array(found)
+                yield k, at[:, 0], at[:, 1], [w[1:] for w in sorted(windows)]
+
+    def need(self, k: int) -> int:
+        n = len(self.templates[k][1])
+        q = min(RUN, n)
+        return max(1, n - q + 1 - q * self.edits[k])
 
     def scan(self, text: str | None) -> list[dict]:
-        found: dict[tuple, dict] = {}
-        for s, e in blocks(text or "", self.longest):
-            hit = self.confirmed(text[s:e])
-            if hit:
-                name, gain, a, b, diff = hit
-                found.setdefault((s + a, s + b, name), {"license": name, "s": s + a, "e": s + b, "gain": float(gain), "differences": diff})
+        if not text:
+            return []
+        found = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
+        words = [x[0] for x in found]
+        hits = []
+        for k, starts, offsets, windows in self.places(words):
+            template, most = self.templates[k][1], self.edits[k]
+            bag, free, n_runs = Counter(template), np.ones(len(words), bool), len(template) - min(RUN, len(template))
+            for low, high in windows:
+                o = offsets[low:high]
+                p = starts[low:high] + o
+                left = free[p]  # runs of no notice found so far
+                o, p = o[left], p[left]
+                if len(o) < self.need(k) or len(np.unique(o)) < self.need(k):
+                    continue
+                i, j = p.argmin(), p.argmax()
+                first = max(0, int(p[i] - o[i]) - (most if o[i] else 0))
+                end = int(p[j] - o[j]) + len(template) + (most if o[j] < n_runs else 0)
+                part = words[first:end]
+                if (Counter(part) & bag).total() < len(template) - most:
+                    continue
+                s, e, odd = wording(template, part)
+                n = sum(max(j - i, m - l) for i, j, l, m in odd)
+                if e == s or n > most:
+                    continue
+                gain = self.gain(part[s:e], k)
+                if gain >= MIN_GAIN:
+                    diff = ["-" + " ".join(template[i:j]) + " +" + " ".join(part[l:m]) for i, j, l, m in odd]
+                    hits.append((n - len(template), n, -gain, k, first + s, first + e, diff))
+                    free[first + s : first + e] = False
         keep: list[dict] = []
-        for x in sorted(found.values(), key=lambda x: (x["s"], -x["e"], len(x["differences"]))):  # the wider of nested ones
-            if not keep or x["e"] > keep[-1]["e"]:
-                keep.append(x)
-        return keep
+        taken = bytearray(len(words))
+        for _, _, gain, k, s, e, diff in sorted(hits):  # what covers most words first
+            if not any(taken[s:e]):
+                taken[s:e] = b"\1" * (e - s)
+                keep.append({"license": self.templates[k][0], "s": found[s][1], "e": found[e - 1][2], "gain": float(-gain), "differences": list(diff)})
+        return sorted(keep, key=lambda x: x["s"])
 
 
 FOUND = "array<struct<license:string,s:int,e:int,gain:double,differences:array<string>>>"
