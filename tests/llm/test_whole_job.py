@@ -2,8 +2,10 @@
 
 import textwrap
 
+import numpy as np
+
 from tests.llm.test_contracts import docs, filler
-from tidemark.llm import license_scan
+from tidemark.llm import language_id, license_scan
 
 
 def full(name):
@@ -31,3 +33,30 @@ def test_every_license_text_finds_itself():
     for name, t in license_scan.TEMPLATES:
         found = scanner.scan(filler(3, 90) + " " + t + " " + filler(4, 90))
         assert [(x["license"], x["differences"]) for x in found] == [(name, [])]
+
+
+def test_a_lone_long_text_sets_no_threshold(spark):
+    words = {"en": "the of and that with this from have they were".split(), "de": "der die und nicht mit sich auch ein wird aber".split()}
+    r = np.random.RandomState(5)
+    text = lambda lang, n: " ".join(r.choice(words[lang], n))
+    rows = [(text(lang, 30) + " " + filler(k, 10), lang) for lang in words for k in range(150)] + [(text("en", 3000), "en")]
+    model = language_id.learn(spark.createDataFrame(rows, "text string, lang string"))
+    other = text("en", 2900) + " " + filler(500, 100)  # English too, of the class with one text
+    got = language_id.identified(docs(spark, [other, text("de", 3000), "zzqx jjkw vvpy " * 20]), model).orderBy("doc_id").collect()
+    assert [r.rejected for r in got] == [False, False, True] and [r.lang_pred for r in got][:2] == ["en", "de"]
+
+
+def test_thresholds_come_from_all_texts_and_pool_neighbours():
+    def drawn(seed, n):
+        r = np.random.RandomState(seed)
+        counts = np.zeros((language_id.LEVELS, language_id.BINS), np.int64)
+        np.add.at(counts, (8, np.clip(r.normal(0.7, 0.04, n) * language_id.BINS, 0, 999).astype(int)), 1)
+        return counts
+
+    small, large = (language_id.least_cosines(c, c) for c in (drawn(1, 2_000), drawn(2, 400_000)))
+    assert abs(small[8] - large[8]) < 0.02 and 0.45 < large[8] < 0.6
+    one = drawn(3, 5_000)
+    one[12, 950] = 1
+    assert language_id.least_cosines(one, one)[12] < 0.6
+    few = drawn(4, 20)
+    assert abs(language_id.least_cosines(few, few + drawn(2, 400_000))[8] - large[8]) < 0.05

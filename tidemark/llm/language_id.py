@@ -3,7 +3,8 @@
 A text becomes a vector of hashed character n-grams (1 to 3 characters of its letters, words padded by a space),
 1 + ln(count) times the inverse document frequency, normalised. Each language has several centroids, found by
 spherical k-means in a bounded sample of its labelled texts; a text gets the language of the centroid with the highest
-cosine. It is rejected where the distance 1 - cosine is above the largest that learned texts of about its length have.
+cosine. It is rejected where that cosine is far below those of the labelled texts, all of them, that got the same language
+and have about its length.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ DIM = 4096
 PER_LANG, CENTROIDS = 800, 4
 #: The labels learned are at most so many, the most frequent first, which bounds the model by LANGS * CENTROIDS * DIM numbers.
 LANGS = 500
-#: Standard deviations beyond the mean distance of texts of its length at which a text is rejected.
-SPREADS = 8.0
+#: A text is rejected as far below the LOW quantile of the cosines of its class as that lies below their median (MARGIN at
+#: least). Classes of fewer than ENOUGH distinct texts are pooled with their neighbours. Cosines are counted in BINS.
+LOW, MARGIN, ENOUGH, BINS = 0.01, 0.05, 1000, 1000
+LEVELS = 32
 UNKNOWN = "und"
 _CHUNK = 1 << 16
 
@@ -71,7 +74,7 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 def _level(counts: np.ndarray) -> np.ndarray:
     """The length class of rows of counts: log2 of the n-grams."""
-    return np.minimum(np.log2(np.maximum(counts.sum(axis=1), 1)).astype(np.int64), 31)
+    return np.minimum(np.log2(np.maximum(counts.sum(axis=1), 1)).astype(np.int64), LEVELS - 1)
 
 
 def _k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 17) -> np.ndarray:
@@ -88,39 +91,66 @@ def _k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 17) -> np.ndar
 
 @dataclass
 class LanguageModel:
-    """Inverse document frequencies, centroids with their languages, and the lowest cosine accepted by length class."""
+    """Inverse document frequencies, centroids with their languages, and the lowest cosine accepted by centroid and length class."""
 
     idf: np.ndarray
     langs: list[str] = field(default_factory=list)
     centroids: np.ndarray = field(default_factory=lambda: np.zeros((0, DIM), np.float32))
-    least: np.ndarray = field(default_factory=lambda: np.zeros(32, np.float32))
+    least: np.ndarray = field(default_factory=lambda: np.zeros((0, LEVELS)))
 
-    def predict(self, texts: list[str | None]) -> pd.DataFrame:
+    def nearest(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: whether it has no n-gram, its length class, its nearest centroid and the cosine."""
         counts = np.stack([ngram_counts(t, len(self.idf)) for t in texts])
-        none = counts.sum(axis=1) == 0
-        if not self.langs:
-            return pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0, "rejected": True})
         cosine = weighted(counts, self.idf) @ self.centroids.T
         best = np.argmax(cosine, axis=1)
-        score = np.clip(cosine[np.arange(len(best)), best], 0, 1).astype(np.float64)
+        return counts.sum(axis=1) == 0, _level(counts), best, np.clip(cosine[np.arange(len(best)), best], 0, 1).astype(np.float64)
+
+    def predict(self, texts: list[str | None]) -> pd.DataFrame:
+        if not self.langs:
+            return pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0, "rejected": True})
+        none, level, best, score = self.nearest(texts)
         pred = np.where(none, UNKNOWN, np.array(self.langs, dtype=object)[best])
-        return pd.DataFrame({"lang_pred": pred, "score": np.where(none, 0.0, score), "rejected": none | (score < self.least[_level(counts)])})
+        return pd.DataFrame({"lang_pred": pred, "score": np.where(none, 0.0, score), "rejected": none | (score < self.least[best, level])})
 
 
-def _each(rows: DataFrame, f, schema: str, at_once: int = 128) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), at_once):
-                yield f(pdf.iloc[at : at + at_once])
+def _bound(counts: np.ndarray) -> float:
+    """The lowest cosine accepted beside texts whose cosines have these counts by bin."""
+    upto = np.cumsum(counts)
+    low, mid = (int(np.searchsorted(upto, max(1, share * upto[-1]))) / BINS for share in (LOW, 0.5))
+    return max(0.0, low - max(mid - low, MARGIN))
 
-    return rows.mapInPandas(run, schema)
+
+def _pooled(counts: np.ndarray, level: int, enough: int) -> np.ndarray:
+    """Counts of the level and so many levels on both sides that there are enough, or of all."""
+    for reach in range(LEVELS):
+        pool = counts[max(0, level - reach) : level + reach + 1].sum(axis=0)
+        if pool.sum() >= enough:
+            break
+    return pool
+
+
+def least_cosines(counts: np.ndarray, every: np.ndarray, enough: int = ENOUGH) -> np.ndarray:
+    """The lowest cosine accepted by length class, of a language's counts by class and bin and those of all languages.
+
+    Languages of fewer than enough texts are pooled with all others. A class with few texts is judged no harder than its
+    own ones allow, and nothing is held against texts shorter than any that was learned.
+    """
+    out, seen = np.zeros(LEVELS), np.flatnonzero(counts.sum(axis=1))
+    wide = counts if counts.sum() >= enough else every
+    for level in range(seen[0] if len(seen) else LEVELS, LEVELS):
+        own = counts[level]
+        out[level] = _bound(_pooled(wide, level, enough))
+        if 0 < own.sum() < enough:
+            out[level] = min(out[level], _bound(own))
+    return out
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, k: int = CENTROIDS, dim: int = DIM) -> LanguageModel:
     """The model of rows with text and lang; rows where either is null teach nothing, and no rows give an empty model.
 
     Document frequencies count all rows. Centroids come from distinct texts of which a hash keeps per_lang a language
-    in expectation, so that copies and frequent languages weigh no more than others. The driver holds the model only.
+    in expectation, so that copies and frequent languages weigh no more than others. The lowest cosines accepted come from
+    all distinct texts. The driver holds the model and counts of cosines by language, length class and bin.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
 
@@ -157,17 +187,29 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
     got = got.assign(c=[tuple(c) for c in got["centroid"]]).sort_values(["lang", "c"])
     model = LanguageModel(idf, list(got["lang"]), np.stack(got["centroid"]).astype(np.float32))
 
-    def distances(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts, x = vectors(pdf)
-        best = (x @ model.centroids.T).max(axis=1).astype(np.float64) if len(x) else np.empty(0)
-        return pd.DataFrame({"level": _level(counts), "c": best})
-
-    spread = _each(sample.select("text"), distances, "level int, c double").groupBy("level").agg(F.avg("c").alias("c"), F.stddev_pop("c").alias("s"), F.min("c").alias("lo"), F.count("*").alias("n")).toPandas()
-    least = np.zeros(32, np.float32)
-    for row in spread.itertuples():
-        # A class with few samples says little of its spread.
-        least[row.level] = max(0.0, min(row.lo, row.c) - SPREADS * row.s) if row.n < 20 else max(0.0, min(row.lo - 2 * row.s, row.c - SPREADS * row.s))
-    model.least = least
+    names = sorted(set(model.langs))
+    shared = labelled.sparkSession.sparkContext.broadcast((model, np.array([names.index(c) for c in model.langs])))
+
+    def cosines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, lang = shared.value
+        for pdf in batches:
+            for at in range(0, len(pdf), 128):
+                part = pdf.iloc[at : at + 128]
+                none, level, best, score = m.nearest(list(part["text"]))
+                yield pd.DataFrame({"h": part["h"].to_numpy(), "lang": lang[best], "level": level, "bin": np.minimum(score * BINS, BINS - 1).astype(int)})[~none]
+
+    each = rows.select(F.xxhash64("text").alias("h"), "text").mapInPandas(cosines, "h long, lang int, level int, bin int")
+    # Equal texts have equal cosines up to rounding, so one row of each is counted.
+    spread = each.groupBy("h").agg(F.min(F.struct("lang", "level", "bin")).alias("x")).groupBy("x").agg(F.count("*").alias("n")).select("x.*", "n").toPandas()
+    every = np.zeros((LEVELS, BINS), np.int64)
+    np.add.at(every, (spread["level"], spread["bin"]), spread["n"])
+    by_lang = dict(list(spread.groupby("lang")))
+    model.least = np.zeros((len(model.langs), LEVELS))
+    for k, name in enumerate(names):
+        counts = np.zeros((LEVELS, BINS), np.int64)
+        if k in by_lang:
+            np.add.at(counts, (by_lang[k]["level"], by_lang[k]["bin"]), by_lang[k]["n"])
+        model.least[[c == name for c in model.langs]] = least_cosines(counts, every)
     return model
 
 
