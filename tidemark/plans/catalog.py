@@ -403,4 +403,4 @@ def har_forecasts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("bootstrap_intervals")
 def bootstrap_intervals(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(metrics.bootstrap(_simulated(spark, sf), draws=2000), 8, "lo", "hi")
+    return rounded(metrics.bootstrap(_simulated(spark, sf)), 8, "lo", "hi")
