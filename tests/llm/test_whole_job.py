@@ -5,7 +5,7 @@ import textwrap
 import numpy as np
 
 from tests.llm.test_contracts import docs, filler
-from tidemark.llm import language_id, license_scan
+from tidemark.llm import language_id, license_scan, media
 
 
 def full(name):
@@ -60,3 +60,14 @@ def test_thresholds_come_from_all_texts_and_pool_neighbours():
     assert language_id.least_cosines(one, one)[12] < 0.6
     few = drawn(4, 20)
     assert abs(language_id.least_cosines(few, few + drawn(2, 400_000))[8] - large[8]) < 0.05
+
+
+def test_fingerprints_hear_the_last_64_bytes():
+    r = np.random.RandomState(7)
+    head = r.randint(0, 255, 1024 + 128).astype(np.uint8).tobytes()
+    for n in (1024, 1024 + 64, 1024 + 128):
+        one, two = (head[: n - 64] + r.randint(0, 255, 64).astype(np.uint8).tobytes() for _ in range(2))
+        peaks = [media.spectral_peaks(s) for s in (one, two)]
+        assert [p[0].max() for p in peaks] == [-(-(n - media.FRAME) // media.HOP)] * 2
+        a, b = (set(zip(*(v.tolist() for v in media.fingerprints(*p)), strict=True)) for p in peaks)
+        assert a != b

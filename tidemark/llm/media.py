@@ -41,8 +41,7 @@ _HANN = np.hanning(FRAME).astype(np.float32)
 def spectral_peaks(samples: bytes, at_once: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """(frame, bin) of the peaks of the whole signal, by frame then strength; at_once frames are transformed together."""
     x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128.0
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
+    x = np.pad(x, (0, FRAME - len(x) if len(x) < FRAME else (FRAME - len(x)) % HOP))  # silence up to the next full hop
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     times, bins = [], []
     for at in range(0, len(frames), at_once):
