@@ -4,13 +4,15 @@ Each text becomes a set of word shingles, the set a MinHash sample, the sample t
 values make candidates, and an odd sketch (a bitmap of parities), whose XOR population count estimates the
 similarity of a candidate pair closely enough to drop most false ones. What is left is confirmed on full sets.
 
-Groups never become all pairs. Texts of equal sets are one node. Within a bucket of equal bands every node meets
-one pivot, then what the links found so far already join is left out, and the rest meets further pivots until no
-bucket holds two unjoined nodes that have not been compared. No bucket is capped.
+Groups never become all pairs. Texts of equal sets are one node. Within a bucket of equal bands every node first meets
+one pivot, and what those links join is one component. In buckets that still hold several components, nodes of
+different components are compared inside the join, in blocks: only pairs of likely sizes and sketches, each at the first
+bucket it shares, leave the join. No bucket is capped, and no pair that shares a bucket is left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,15 +21,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import dropped, small, staged
+from tidemark.llm.common import dropped, join_hot, small, staged
 from tidemark.llm.graph import components
 
-#: A pair at 0.85 misses all 30 bands of 5 with probability 2e-8, one at 0.80 with 7e-6.
-BANDS, ROWS = 30, 5
-#: Bits of an odd sketch. The estimate's standard error near 0.8 is about 0.035; pairs under the threshold by more than SLACK go unread.
-BITS, SLACK = 512, 0.2
-#: Pairs that one bucket may emit in one round; larger buckets take more rounds.
-ROUND_PAIRS = 4096
+#: Bands of a text, and values of its MinHash sample; bands take as many values as MISSED allows (see band_rows).
+BANDS, SAMPLES = 40, 768
+#: The chance at most that a pair just at the threshold shares no band.
+MISSED = 1e-4
+#: Bits of an odd sketch. Pairs whose estimate is under the threshold by more than ERRORS standard errors go unread.
+BITS, ERRORS = 1536, 4.0
+#: Members of a bucket that one block of a comparison takes at most (on average).
+BLOCK = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,26 +70,34 @@ def text_words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def band_rows(similarity: float, bands: int = BANDS, missed: float = MISSED) -> int:
+    """The most MinHash values a band may take so that a pair of this similarity shares one of the bands but for a chance of `missed`."""
+    return max(1, math.floor(math.log(1 - missed ** (1 / bands)) / math.log(similarity) + 1e-9))
+
+
 class Sketcher:
     """MinHash sample, band values and odd sketch of a set of 64-bit hashes."""
 
-    def __init__(self, bands: int = BANDS, rows: int = ROWS, bits: int = BITS, seed: int = 17) -> None:
+    def __init__(self, bands: int, rows: int, samples: int = SAMPLES, bits: int = BITS, seed: int = 17) -> None:
         rng = np.random.default_rng(seed)
-        self.bands, self.rows, self.bits, self.k = bands, rows, bits, bands * rows
-        self.mul = (rng.integers(0, 2**32, self.k, dtype=np.uint32) | np.uint32(1))[:, None]
-        self.add = rng.integers(0, 2**32, self.k, dtype=np.uint32)[:, None]
+        self.bands, self.rows, self.bits, self.k = bands, rows, bits, max(samples, bands * rows)
+        self.mul = rng.integers(0, 2**32, self.k, dtype=np.uint32) | np.uint32(1)
+        self.add = rng.integers(0, 2**32, self.k, dtype=np.uint32)
         self.salt = rng.integers(0, 2**63, self.k, dtype=np.uint64)
 
     def sample(self, grams: np.ndarray) -> np.ndarray:
         low = np.full(self.k, 2**32 - 1, np.uint32)
         x = (grams >> np.uint64(32)).astype(np.uint32)
-        for at in range(0, len(x), 2048):  # bounded memory however long the text
-            np.minimum(low, (self.mul * x[None, at : at + 2048] + self.add).min(axis=1), out=low)
+        for at in range(0, len(x), 256):  # bounded memory however long the text
+            part = x[at : at + 256, None] * self.mul
+            part += self.add
+            np.minimum(low, part.min(axis=0), out=low)
         return low
 
     def band_values(self, low: np.ndarray) -> np.ndarray:
-        wide = low.astype(np.uint64).reshape(self.bands, self.rows)
-        out = np.zeros(self.bands, np.uint64)
+        """A value a band, different from those of other bands."""
+        wide = low[: self.bands * self.rows].astype(np.uint64).reshape(self.bands, self.rows)
+        out = np.arange(1, self.bands + 1, dtype=np.uint64)
         for r in range(self.rows):
             out = mixed(out * _MIX + wide[:, r] + np.uint64(r + 1))
         return out.view(np.int64)
@@ -133,66 +145,88 @@ def gram_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("text").mapInPandas(run, "node string, grams array<long>")
 
 
-def odd_similarity(a: Column, b: Column, k: int = BANDS * ROWS, bits: int = BITS) -> Column:
-    """Jaccard estimate of two odd sketches: 1 + n/4k ln(1 - 2z/n) at z differing bits; 0 where the logarithm has no value."""
-    z = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    left = F.lit(1.0) - z * (2.0 / bits)
-    return F.when(left > 0, 1.0 + F.log(left) * (bits / (4.0 * k))).otherwise(0.0)
+def standard_error(similarity: float, samples: int = SAMPLES, bits: int = BITS) -> float:
+    """Of the Jaccard estimate: that of the sample, and that of folding it (odd bins of u elements in n) at this similarity."""
+    u = 2 * samples * (1 - similarity)
+    left = math.exp(-2 * u / bits)
+    folded = max(0.0, bits * (1 - left * left) / 4 - u * left * left) / (2 * samples * left) ** 2
+    return math.sqrt(similarity * (1 - similarity) / samples + folded)
+
+
+def most_bits(similarity: float, samples: int = SAMPLES, bits: int = BITS, errors: float = ERRORS) -> int:
+    """The bits that odd sketches may differ in, n/2 (1 - (1 - 2/n)^(2k(1 - J))) at a similarity so many standard errors below this."""
+    least = max(0.0, similarity - errors * standard_error(similarity, samples, bits))
+    return math.ceil(bits / 2 * (1 - (1 - 2 / bits) ** (2 * samples * (1 - least))))
+
 
+def alike(n_a: Column, n_b: Column, odd_a: list[Column], odd_b: list[Column], percent: int, most: int) -> Column:
+    """Whether sizes allow the similarity and the sketches differ in no more bits than `most`."""
+    apart = sum(F.bit_count(x.bitwiseXOR(y)) for x, y in zip(odd_a, odd_b, strict=True))
+    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (apart <= most)
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, sets, percent: int, estimate=odd_similarity, slack: float = SLACK) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity. Sizes and sketches thin them first."""
-    side = lambda s: sketches.select(F.col("node").alias(s), F.col("odd").alias(f"odd_{s}"), F.col("n_shingles").alias(f"n_{s}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b")
-    likely = likely.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    likely = staged(likely.where(estimate(F.col("odd_a"), F.col("odd_b")) >= percent / 100 - slack).select("a", "b", "n_a", "n_b"), "likely")
+
+def _confirmed(likely: DataFrame, sets, percent: int) -> DataFrame:
+    """The rows (a, b, n_a, n_b and others) of likely whose full sets reach the similarity. likely is read twice."""
     grams = sets(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
-    full = likely.join(grams.select(F.col("node").alias("b"), F.col("grams").alias("g_b")), "b").join(grams.select(F.col("node").alias("a"), F.col("grams").alias("g_a")), "a")
-    both = full.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), F.size(F.array_intersect("g_a", "g_b")).alias("i"))
-    return both.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b")
+    full = likely.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("g_a")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("g_b")), "b")
+    both = full.withColumn("i", F.size(F.array_intersect("g_a", "g_b")))
+    both = both.where(F.col("i") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("i")) * percent)
+    return staged(both.drop("i", "g_a", "g_b"), "links")
 
 
-def linked(sketches: DataFrame, sets, percent: int, round_pairs: int = ROUND_PAIRS, **kw) -> DataFrame:
-    """Links (a, b) that join all nodes within the similarity, found through bands, odd sketches and full sets.
+def similar_components(sketches: DataFrame, sets, percent: int, words: int = BITS // 64, samples: int = SAMPLES, errors: float = ERRORS, block: int = BLOCK) -> DataFrame:
+    """(node, component) of the nodes that links join: pairs that share a band and whose full sets reach the similarity.
 
-    sketches: (node, n_shingles, bands, odd), one row a node. sets: nodes (node) -> (node, grams).
-    A link may be left out only where others already join its ends.
+    sketches: (node, n_shingles, bands, odd), one row a node, read several times; odd holds `words` longs. sets: nodes
+    (node) -> (node, grams). Where a bucket holds unlike nodes, those outside its largest component are compared with
+    all others: its rows by the nodes that stand alone, in a few machine operations a pair.
     """
-    rows = sketches.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("value"))
+    most = most_bits(percent / 100, samples, words * 64, errors)
+    rows = sketches.select("node", F.posexplode("bands").alias("band", "value"))
     # Values are counted by themselves first: two longs a row, added up in memory, and most values stand alone.
-    shared = staged(rows.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value"), "shared")
-    buckets = staged(rows.join(small(shared), "value"), "buckets")
-    dropped(shared)
-    members = buckets.join(buckets.groupBy("value").agg(F.min("node").alias("pivot")), "value")
-    pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = [staged(_confirmed(pairs, sketches, sets, percent, **kw), "links")]
-    rest = members.where("node <> pivot").drop("pivot")
-    turn = 0
-    while True:
-        turn += 1
-        found = links[0]
-        for more in links[1:]:
-            found = found.union(more)
-        label = components(found)
-        at = rest.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = at.groupBy("value").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value", "m")
-        at = staged(at.join(open_, "value"), "open")
-        if turn > 1:
-            dropped(rest)
-        if at.isEmpty():
-            dropped(buckets)
-            return found
-        # One node more than is needed does no harm: pivots are taken in a seeded order that differs by band.
-        order = Window.partitionBy("value").orderBy(F.xxhash64(F.lit(turn), "value", "node"), "node")
-        ranked = staged(at.withColumn("rank", F.row_number().over(order)), "ranked")
-        pivots = ranked.where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.lit(round_pairs) / F.col("m"))))
-        dropped(at)
-        side = pivots.select("value", F.col("node").alias("p"), F.col("component").alias("c"), F.col("rank").alias("r"))
-        met = ranked.join(side, "value").where("rank > r and component <> c")
-        pairs = met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        links.append(staged(_confirmed(pairs, sketches, sets, percent, **kw), "links"))
-        rest = staged(ranked.where(F.col("rank") > F.greatest(F.lit(1), F.floor(F.lit(round_pairs) / F.col("m")))).select("node", "value"), "rest")
-        dropped(ranked)
+    shared = staged(rows.groupBy("value").agg(F.count("*").alias("m")).where("m > 1"), "shared")
+    buckets = staged(rows.join(small(shared.select("value")), "value"), "buckets")
+    signs = sketches.join(small(buckets.select("node").distinct()), "node", "left_semi").select("node", "n_shingles", "bands", *(F.get("odd", F.lit(k)).alias(f"o{k}") for k in range(words)))
+    signs = staged(signs, "signs")
+    odd = lambda s: [F.col(f"o{k}_{s}") for k in range(words)]
+    side = lambda df, s, *more: df.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n_{s}"), *(F.col(f"o{k}").alias(f"o{k}_{s}") for k in range(words)), *more)
+
+    pivots = buckets.groupBy("value").agg(F.min("node").alias("pivot"))
+    pairs = buckets.join(pivots, "value").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    likely = pairs.join(side(signs, "a"), "a").join(side(signs, "b"), "b").where(alike(F.col("n_a"), F.col("n_b"), odd("a"), odd("b"), percent, most))
+    likely = staged(likely.select("a", "b", "n_a", "n_b"), "likely")
+    links = _confirmed(likely, sets, percent)
+    dropped(likely)
+    label = staged(components(links), "label")
+    dropped(links)
+
+    at = buckets.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    at = staged(at, "at")
+    open_ = at.groupBy("value").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("value", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    rest = at.join(small(staged(open_, "open")), "value").join(signs, "node")
+    rest = rest.withColumns({"own": F.pmod(F.xxhash64("node"), "blocks").cast("int"), "before": F.slice("bands", F.lit(1), F.col("band"))})
+    rest = staged(rest.drop("bands"), "rest")
+    for x in (shared, buckets, at):
+        dropped(x)
+    # A block meets itself and every other: the lower of the two stands at the left.
+    left = side(rest.withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1))), "a", "value", F.col("own").alias("i"), "j", F.col("c").alias("c_a"), F.col("before").alias("before_a"))
+    right = side(rest.withColumn("i", F.explode(F.sequence(F.lit(0), "own"))), "b", "value", "i", F.col("own").alias("j"), F.col("c").alias("c_b"), F.col("before").alias("before_b"))
+    first = ~F.arrays_overlap("before_a", "before_b")  # a pair counts at the first band it shares
+    l, r = left.alias("l"), right.alias("r")  # noqa: E741
+    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("value", "i", "j")]
+    once = ((F.col("l.i") < F.col("l.j")) | (F.col("a") < F.col("b"))) & (F.col("c_a") != F.col("c_b"))
+    met = l.join(r, same[0] & same[1] & same[2] & once & alike(F.col("n_a"), F.col("n_b"), odd("a"), odd("b"), percent, most) & first)
+    likely = staged(met.select("a", "b", "n_a", "n_b", "c_a", "c_b"), "likely")
+    dropped(rest)
+    dropped(signs)
+    links = _confirmed(likely, sets, percent)
+    dropped(likely)
+    # Labels that later links join: the components of components.
+    joined = staged(components(links.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))), "joined")
+    known = label.join(joined.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+    alone = joined.join(label.select("node"), "node", "left_anti").select("node", "component")
+    dropped(links)
+    return known.union(alone)
 
 
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,27 +236,35 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     Null, empty and blank texts have no shingles and link with nothing. A null id links with nothing and is kept,
     with a null component. Other columns of docs are not looked at. No rows give no rows.
     """
-    signed = staged(sketched(docs, id_col, text_col, words), "sketched")
-    classes = signed.where("id is not null and set_key is not null").groupBy("set_key").agg(F.min("id").alias("node"))
-    reps = signed.join(classes, "set_key").where("id = node").select("node", "n_shingles", "bands", "odd", "set_key")
+    signed = staged(sketched(docs, id_col, text_col, words, bands=BANDS, rows=band_rows(percent / 100)), "sketched")
+    classes = signed.where("id is not null and set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
+    classes = staged(classes, "classes")
     # An id that repeats with other texts stands for several sets; each set keeps its own sketch under its key.
-    reps = staged(reps.dropDuplicates(["set_key"]), "reps")
-    sketches = reps.select(F.col("set_key").alias("node"), "n_shingles", "bands", "odd")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-
+    reps = signed.join(classes.select("set_key", F.col("rep").alias("id")), ["set_key", "id"]).select(F.col("set_key").alias("node"), "id", "n_shingles", "bands", "odd")
     repeats = not signed.groupBy("id").count().where("count > 1").isEmpty()
+    reps = staged(reps.dropDuplicates(["node"]) if repeats else reps, "reps")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def sets(nodes: DataFrame) -> DataFrame:
-        wanted = small(staged(nodes.join(reps.select(F.col("set_key").alias("node"), F.col("node").alias("id")), "node"), "wanted"))
+        wanted = small(staged(nodes.join(reps.select("node", "id"), "node"), "wanted"))
         found = gram_sets(texts.join(wanted, "id", "left_semi"), words)
         if repeats:  # the same row twice, or an id with other texts
             found = found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
         return staged(found, "grams")
 
-    links = linked(sketches, sets, percent)
-    name = reps.select(F.col("set_key").alias("k"), F.col("node").alias("rep"))
-    ends = links.join(name.withColumnRenamed("k", "a"), "a").withColumnRenamed("rep", "x").join(name.withColumnRenamed("k", "b"), "b").select(F.col("x").alias("a"), F.col("rep").alias("b"))
-    copies = signed.where("id is not null").join(classes, "set_key").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    label = components(ends.union(copies))
-    out = signed.select("id", "n_shingles").join(label, F.col("id") == F.col("node"), "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    label = staged(similar_components(reps.select("node", "n_shingles", "bands", "odd"), sets, percent), "labels")
+    dropped(reps)
+    # The ids of linked sets: the least of a component stands for it. Ids that stand for several sets join those too.
+    named = classes.join(label.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("c", F.coalesce("component", "set_key"))
+    named = named.join(named.groupBy("c").agg(F.min("rep").alias("least")), "c").select("set_key", "least", "m")
+    named = staged(named, "named")
+    member = join_hot(signed.where("id is not null").select("id", "n_shingles", "set_key"), named, ["set_key"], "m").select("id", "n_shingles", F.col("least").alias("component_id"))
+    if repeats:
+        ends = staged(member.select(F.col("id").alias("a"), F.col("component_id").alias("b")).distinct(), "ends")
+        over = components(ends)
+        member = member.join(over, F.col("id") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    alone = signed.where("id is null or set_key is null").select("id", "n_shingles", F.col("id").alias("component_id"))
+    if repeats:  # an empty text under an id that other texts link
+        alone = alone.join(over, F.col("id") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    out = member.union(alone)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id").withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

@@ -85,15 +85,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_paragraph_substring_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each document with repeated paragraphs: what goes, and the documents whose paragraphs it repeats."""
-    from tidemark.llm.substring_dedup import repeated_paragraphs, runs_of
+    """A row for each document with repeated passages: what goes, and the documents whose paragraphs it repeats."""
+    from tidemark.llm.substring_dedup import repeated_paragraphs
 
     found = repeated_paragraphs(tables(spark, sf_dir, "documents").select("doc_id", "text"))
-    gone = F.when(~F.col("kept"), F.struct("s", "e"))
-    per = found.groupBy(F.col("id").alias("doc_id")).agg(F.array_sort(F.collect_set(gone)).alias("g"), F.array_sort(F.collect_set("first_id")).alias("first_doc_ids"))
-    per = per.withColumn("r", runs_of(F.col("g")))
-    text = F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["s"].cast("string"), x["e"].cast("string"))), ",")
-    return per.select("doc_id", F.size("r").cast("long").alias("n_removed"), text.alias("removed"), "first_doc_ids")
+    runs = found.groupBy("id", "run", "kept").agg(F.max("e").alias("e"), F.sum("n_words").alias("w"), F.collect_set("first_id").alias("f"))
+    gone = F.when(~F.col("kept"), F.struct("run", "e"))
+    per = runs.groupBy(F.col("id").alias("doc_id")).agg(
+        F.array_sort(F.collect_set(gone)).alias("r"), F.coalesce(F.sum(F.when(~F.col("kept"), F.col("w"))), F.lit(0)).alias("words_removed"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("f")))).alias("first_doc_ids")
+    )
+    text = F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["run"].cast("string"), x["e"].cast("string"))), ",")
+    return per.select("doc_id", F.size("r").cast("long").alias("n_removed"), "words_removed", text.alias("removed"), "first_doc_ids")
 
 
 @query("op7_wav_fingerprints")
@@ -102,7 +104,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = media_columns(tables(spark, sf_dir, "documents").select("doc_id", "text"))
     coded = F.concat_ws(",", F.transform(F.arrays_zip("times", "hashes"), lambda x: F.concat_ws(":", x["times"].cast("string"), x["hashes"].cast("string"))))
-    return out.withColumn("feature", F.concat_ws("|", F.size("hashes").cast("string"), F.sha2(coded, 256))).drop("times", "hashes")
+    return out.withColumn("feature", F.concat_ws("|", F.size("hashes").cast("string"), F.sha2(coded, 256)))
 
 
 @query("op8_conditional_compression_licenses")

@@ -1,42 +1,47 @@
 """Substring dedup of paragraphs by MinHash bands.
 
-Texts seldom mark the passages they share, so paragraphs are found by content: a paragraph starts at a sentence and
-takes whole sentences up to LEAST words or more. Of all starts those are used whose sentence holds the least hashed
-word of some SPAN words in a row (winnowing), so a passage that two texts share is cut alike in both, wherever it
-stands. Paragraphs of equal words are one class; classes with an equal band are compared, exact Jaccard of their word
-shingles confirms, and components of what is linked keep their first paragraph only.
+Texts seldom mark the passages they share, so paragraphs are found by content and cover each text once: blocks between
+blank lines, and within a block sentences (lines end sentences too), short ones with those after them up to LEAST
+words. Where a passage stands moves the cuts of its first paragraph at most, so two texts that share it have the others
+in common. Paragraphs of equal words are one class; classes that collide in a band of MinHash values are compared, exact
+Jaccard of their word shingles confirms, and components of what is linked keep their first paragraph only. Repeats that
+lie side by side are one passage, which goes if it has RUN words or more.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import dropped, join_hot, small, staged
-from tidemark.llm.graph import components
-from tidemark.llm.near_dedup import gram_hashes, linked, mixed
-
-#: Words of a paragraph at least, and words among which one start is chosen.
-LEAST, SPAN = 24, 18
-SAMPLES = 24
-_STOP, _SIGNS = re.compile(r"[.!?]\W*$"), re.compile(r"\W+")
-#: A sentence of fewer words starts no paragraph, as the next one would be nearly the same.
-SHORT = 4
+from tidemark.llm.near_dedup import mixed, similar_components
+
+#: Words of a paragraph within a block at least, and of a repeated passage.
+LEAST, RUN = 12, 16
+#: Sentences of more words end at words chosen by their hash too, one in LONG_END.
+LONG, LONG_END = 32, 12
+#: MinHash values of a band, of the sample, and words of 64 bits in an odd sketch.
+ROWS, SAMPLES, WORDS = 3, 48, 2
+#: Bytes of text that are cut at once; a longer text is cut by itself, in some 60 bytes a byte of it.
+AT_ONCE = 1 << 19
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 
-
-#: MinHash values of a band. With one, every paragraph that holds some frequent line meets all the others that do.
-ROWS = 3
-#: Pairs that one bucket may emit in one round.
-ROUND_PAIRS = 32_768
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: What a byte of a word counts for: nothing if it is an ASCII sign, the same for A-Z and a-z.
+_BYTE = np.random.default_rng(41).integers(1, 2**63, 256, dtype=np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
+_BYTE[[k for k in range(128) if not chr(k).isalnum()]] = 0
+_STOPS = np.zeros(256, bool)
+_STOPS[[ord(c) for c in ".!?"]] = True
+_CLOSES = np.zeros(256, bool)
+_CLOSES[[ord(c) for c in "\"')]"]] = True
 
 
 def tuned_bands(similarity: float, recall: float, rows: int = 1) -> int:
@@ -44,214 +49,226 @@ def tuned_bands(similarity: float, recall: float, rows: int = 1) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-class _Words(dict):
-    """Hashes of words without case and signs; the lowest bit tells whether a sentence ends there."""
-
-    def __missing__(self, token: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        word = token.decode("utf-8", "surrogatepass")
-        plain = _SIGNS.sub("", word.lower())
-        value = self[token] = xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) >> 1 << 1 | bool(_STOP.search(word))
-        return value
-
-
 class Paragraphs:
-    """Cuts a text into paragraphs and hashes them."""
+    """Cuts texts into paragraphs and hashes them."""
 
-    def __init__(self, words: int, bands: int, least: int = LEAST, span: int = SPAN, seed: int = 23) -> None:
+    def __init__(self, words: int, bands: int, least: int = LEAST, seed: int = 23) -> None:
         rng = np.random.default_rng(seed)
-        self.n, self.bands, self.least, self.span, self.memo = words, bands, least, span, _Words()
-        self.mul = (rng.integers(0, 2**32, SAMPLES, dtype=np.uint32) | np.uint32(1))[:, None]
-        self.add = rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)[:, None]
-        self.salt = rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)[:, None]
-
-    def cut(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hashes of the words, code points of their starts and ends, first and last words of the paragraphs, ends exclusive)."""
-        tokens = text.encode("utf-8", "surrogatepass").split()  # bytes split at ASCII space alone
+        self.n, self.bands, self.least, self.k = words, bands, max(least, words), max(SAMPLES, bands * ROWS)
+        self.mul = (rng.integers(0, 2**32, self.k, dtype=np.uint32) | np.uint32(1))[:, None]
+        self.add = rng.integers(0, 2**32, self.k, dtype=np.uint32)[:, None]
+        self.salt = rng.integers(0, 2**63, self.k, dtype=np.uint64)[:, None]
+        self.powers = np.ones(1, np.uint64)
+
+    def tokens(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, hashes) of the words of UTF-8 bytes; a character of a script without spaces is a word."""
+        space = _SPACE[data]
+        inside = np.concatenate([[False], ~space, [False]])
+        turn = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = turn[::2], turn[1::2]
+        if data.max(initial=0) >= 0xE3:
+            wide = np.flatnonzero((data >= 0xE3) & (data <= 0xED))  # CJK, kana, Hangul: three bytes each
+            if len(wide):
+                after = wide + 3
+                more = np.concatenate([wide, after[(after < len(data)) & ~space[np.minimum(after, len(data) - 1)]]])
+                all_starts = np.union1d(starts, more)
+                run_end = ends[np.searchsorted(starts, all_starts, side="right") - 1]
+                starts, ends = all_starts, np.minimum(np.append(all_starts[1:], len(data)), run_end)
+        if not len(starts):
+            return starts, ends, np.empty(0, np.uint64)
+        value = _BYTE[data]
+        kept = np.cumsum(value > 0)
+        before = kept[starts] - (value[starts] > 0)
+        rank = np.zeros(len(data), np.int64)  # of a byte among those of its word that count, from 1
+        rank[starts[0] :] = kept[starts[0] :] - np.repeat(before, np.diff(np.append(starts, len(data))))
+        longest = int(rank.max())
+        if longest >= len(self.powers):
+            self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(longest + 64, _BASES[0])]), dtype=np.uint64)
+        return starts, ends, mixed(np.add.reduceat(value * self.powers[rank], starts))
+
+    def cut(self, data: np.ndarray) -> tuple:
+        """(hashes of the words, their starts and ends, first and last words of the paragraphs, ends exclusive)."""
+        starts, ends, h = self.tokens(data)
         none = np.empty(0, np.int64)
-        if len(tokens) < self.least:
-            return np.empty(0, np.uint64), none, none, none, none
-        h = np.fromiter(map(self.memo.__getitem__, tokens), np.uint64, len(tokens))
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        inside = np.zeros(len(points) + 2, np.int8)
-        inside[1:-1] = (points != 32) & ((points < 9) | (points > 13))
-        turn = np.diff(inside)
-        starts, ends = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-        stop, h = (h & np.uint64(1)).astype(bool), h >> np.uint64(1)
-        before = np.searchsorted(starts, np.flatnonzero(points == 10)) - 1  # a line ends a sentence too
-        stop[before[before >= 0]] = True
-        stop[-1] = True
-        begin = np.flatnonzero(np.concatenate([[True], stop[:-1]]))
-        begin = begin[np.diff(np.append(begin, len(h))) >= SHORT]
-        if not len(begin):
-            begin = np.zeros(1, np.int64)
-        order = mixed(h + np.uint64(1))
-        view = np.lib.stride_tricks.sliding_window_view(order, min(self.span, len(order)))
-        anchors = np.unique(np.argmin(view, axis=1) + np.arange(len(view)))
-        first = np.unique(begin[np.maximum(np.searchsorted(begin, anchors, side="right") - 1, 0)])
-        close = np.flatnonzero(stop) + 1  # a paragraph ends at the first of these with enough words
-        at = np.searchsorted(close, first + self.least)
-        ok = at < len(close)
-        return h, starts, ends, first[ok], close[at[ok]]
+        if not len(h):
+            return h, starts, ends, none, none
+        last = data[ends - 1]
+        stop = _STOPS[last] | (_CLOSES[last] & _STOPS[data[np.maximum(ends - 2, 0)]])
+        if data.max() >= 0xC0:  # the stops of other scripts, by their last two bytes
+            two = data[np.maximum(ends - 2, 0)].astype(np.uint16) << 8 | last
+            stop |= np.isin(two, (0x8082, 0xBC81, 0xBC9F, 0xD89F, 0xA5A4))
+        lines = np.cumsum(data == 10)
+        breaks = np.append(lines[starts[1:]] - lines[ends[:-1] - 1], 2)
+        hard = breaks >= 2
+        stop |= breaks >= 1
+        close = np.flatnonzero(stop) + 1
+        size = np.diff(np.concatenate([[0], close]))
+        if size.max() > LONG:
+            soft = np.repeat(size > LONG, size) & (mixed(h + np.uint64(3)) % np.uint64(LONG_END) == 0)
+            close = np.flatnonzero(stop | soft) + 1
+        first, end, at = [], [], 0
+        for c, whole in zip(close.tolist(), hard[close - 1].tolist(), strict=True):
+            if whole or c - at >= self.least:
+                if c - at >= self.n:
+                    first.append(at)
+                    end.append(c)
+                at = c
+        return h, starts, ends, np.array(first, np.int64), np.array(end, np.int64)
 
     def grams(self, h: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(h) - self.n + 1, np.uint64)
+        out = np.zeros(max(0, len(h) - self.n + 1), np.uint64)
         for k in range(self.n):
             out = mixed(out + h[k : k + len(out)] + np.uint64(k + 1))
         return out
 
-    def rows(self, text: str) -> Iterator[tuple]:
-        """Arrays (s, e, key, n, bands, odd) of a bounded number of paragraphs at once; key has two columns."""
-        h, starts, ends, first, last = self.cut(text)
+    def rows(self, texts: list[bytes]) -> Iterator[tuple]:
+        """Arrays (text, place, words, s, e, key, n, bands, odd) of a bounded number of paragraphs at once; key has two columns."""
+        begin = np.cumsum([0, *(len(t) + 2 for t in texts)])
+        data = np.frombuffer(b"\n\n".join(texts) + b"\n\n", np.uint8)
+        h, starts, ends, first, last = self.cut(data)
         if not len(first):
             return
         grams = self.grams(h)
-        with np.errstate(over="ignore"):
-            for at in range(0, len(first), 512):
-                a, b = first[at : at + 512], last[at : at + 512]
-                size = b - a - self.n + 1
-                cut = np.concatenate([[0], np.cumsum(size)[:-1]])
-                who = np.repeat(np.arange(len(a)), size)
-                g = grams[np.arange(size.sum()) - np.repeat(cut - a, size)]
-                order = np.lexsort((g, who))
-                new = np.concatenate([[True], (g[order][1:] != g[order][:-1]) | (who[order][1:] != who[order][:-1])])
-                n = np.add.reduceat(new.astype(np.int64), cut)
-                low = np.minimum.reduceat(self.mul * (g >> np.uint64(32)).astype(np.uint32) + self.add, cut, axis=1)
-                bit = mixed(low.astype(np.uint64) + self.salt) & np.uint64(63)
-                odd = np.bitwise_xor.reduce(np.uint64(1) << bit, axis=0).view(np.int64)
-                long = b - a
-                cut_w = np.concatenate([[0], np.cumsum(long)[:-1]])
-                place = np.arange(long.sum()) - np.repeat(cut_w, long)
-                word = h[place + np.repeat(a, long)]
-                keys = [np.add.reduceat(mixed(word + base * (place + 1).astype(np.uint64)), cut_w) for base in _BASES]
-                bands = np.zeros((len(a), self.bands), np.uint64)
-                for r in range(ROWS):
-                    bands = mixed(bands * _BASES[0] + low[r : r + self.bands * ROWS : ROWS].T.astype(np.uint64) + np.uint64(r + 1))
-                yield starts[a], ends[b - 1], np.stack(keys, axis=1), n, bands, odd
-
-
-def paragraphs(docs: DataFrame, words: int, bands: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, rid, s, e, key, n, bands, odd): the paragraphs of each text; key is a 128-bit hash of its words in order. A row that repeats gives its paragraphs again."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def table(ids: pa.Array, rids: pa.Array, at: list[int], parts: list[tuple]) -> pa.RecordBatch:
-        s, e, keys, n, values, odd = (np.concatenate(x) for x in zip(*parts, strict=True))
-        place, rows = pa.array(at), len(s)
-        offsets = lambda k: np.arange(0, (rows + 1) * k, k, dtype=np.int32)
-        named = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets(16)), pa.py_buffer(np.ascontiguousarray(keys))])
-        lists = pa.ListArray.from_arrays(offsets(bands), values.view(np.int64).ravel())
-        columns = [ids.take(place), rids.take(place), s.astype(np.int32), e.astype(np.int32), named, n.astype(np.int32), lists, pa.ListArray.from_arrays(offsets(1), odd)]
-        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], ["id", "rid", "s", "e", "key", "n", "bands", "odd"])
+        points = np.cumsum((data & 0xC0) != 0x80)
+        point = lambda x: points[x - 1] * (x > 0)  # noqa: E731  code points before byte x
+        who = np.searchsorted(begin, starts[first], side="right") - 1
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        s, e = point(starts[first]) - point(begin[who]), point(ends[last - 1]) - point(begin[who])
+        for at in range(0, len(first), 512):
+            part = slice(at, at + 512)
+            a, b = first[part], last[part]
+            size = b - a - self.n + 1
+            cut = np.concatenate([[0], np.cumsum(size)[:-1]])
+            own = np.repeat(np.arange(len(a)), size)
+            g = grams[np.arange(size.sum()) - np.repeat(cut - a, size)]
+            order = np.lexsort((g, own))
+            new = np.concatenate([[True], (g[order][1:] != g[order][:-1]) | (own[order][1:] != own[order][:-1])])
+            n = np.add.reduceat(new.astype(np.int64), cut)
+            low = np.minimum.reduceat(self.mul * (g >> np.uint64(32)).astype(np.uint32) + self.add, cut, axis=1)
+            bit = mixed(low.astype(np.uint64) + self.salt) % np.uint64(64 * WORDS)
+            mark = np.uint64(1) << (bit & np.uint64(63))
+            odd = np.stack([np.bitwise_xor.reduce(np.where(bit >> np.uint64(6) == k, mark, np.uint64(0)), axis=0) for k in range(WORDS)], axis=1)
+            long = b - a
+            cut_w = np.concatenate([[0], np.cumsum(long)[:-1]])
+            step = np.arange(long.sum()) - np.repeat(cut_w, long)
+            word = h[step + np.repeat(a, long)]
+            keys = [np.add.reduceat(mixed(word + base * (step + 1).astype(np.uint64)), cut_w) for base in _BASES]
+            bands = np.repeat(np.arange(1, self.bands + 1, dtype=np.uint64)[None], len(a), axis=0)
+            for r in range(ROWS):
+                bands = mixed(bands * _BASES[0] + low[r : self.bands * ROWS : ROWS].T.astype(np.uint64) + np.uint64(r + 1))
+            yield who[part], place[part], long, s[part], e[part], np.stack(keys, axis=1), n, bands, odd
+
+
+def _encoded(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def paragraphs(rows: DataFrame, words: int, bands: int) -> DataFrame:
+    """(id, rid, u, w, s, e, key, n, bands, odd) of rows (id, rid, text): the paragraphs, counted by u, of w words; key is a 128-bit hash of their words in order."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def table(ids: pa.Array, rids: pa.Array, part: tuple) -> pa.RecordBatch:
+        who, place, long, s, e, keys, n, values, odd = part
+        at, count = pa.array(who), len(s)
+        offsets = lambda k: np.arange(0, (count + 1) * k, k, dtype=np.int32)
+        lists = lambda x: pa.ListArray.from_arrays(offsets(x.shape[1]), np.ascontiguousarray(x).view(np.int64).ravel())
+        named = pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(offsets(16)), pa.py_buffer(np.ascontiguousarray(keys))])
+        ints = [pa.array(x.astype(np.int32)) for x in (place, long, s, e)]
+        columns = [ids.take(at), rids.take(at), *ints, named, pa.array(n.astype(np.int32)), lists(values), lists(odd)]
+        return pa.RecordBatch.from_arrays(columns, ["id", "rid", "u", "w", "s", "e", "key", "n", "bands", "odd"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Paragraphs(words, bands)
-        for batch in batches:
-            ids, rids, texts = batch.columns
-            at: list[int] = []
-            parts: list[tuple] = []
-            for k, text in enumerate(texts):
-                for part in cutter.rows(text.as_py()):
-                    at += [k] * len(part[0])
-                    parts.append(part)
-                    if len(at) >= 8192:
-                        yield table(ids, rids, at, parts)
-                        at, parts = [], []
-            if at:
-                yield table(ids, rids, at, parts)
-
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("rid"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, rid long, s int, e int, key binary, n int, bands array<long>, odd array<long>")
-
-
-def _sets_of(docs: DataFrame, reps: DataFrame, words: int, id_col: str, text_col: str):
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                ids, rids, column = batch.columns
+                texts: list[bytes] = []
+                held, begun = 0, 0
+                for k, text in enumerate(column):
+                    texts.append(_encoded(text.as_py()))
+                    held += len(texts[-1])
+                    if held >= AT_ONCE or k + 1 == len(column):
+                        for part in cutter.rows(texts):
+                            yield table(ids.slice(begun), rids.slice(begun), part)
+                        texts, held, begun = [], 0, k + 1
+
+    return rows.mapInArrow(run, f"id {kind}, rid long, u int, w int, s int, e int, key binary, n int, bands array<long>, odd array<long>")
+
+
+def _sets_of(rows: DataFrame, reps: DataFrame, words: int):
     """nodes (node) -> (node, grams): the full shingle sets of the classes' first paragraphs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = _Words()
-        for pdf in batches:
-            for text, wanted in zip(pdf["text"], pdf["wanted"], strict=True):
-                keys, sets = [], []
-                for w in wanted:
-                    h = [memo[t] >> 1 for t in text[w["s"] : w["e"]].encode("utf-8", "surrogatepass").split()]
-                    keys.append(w["node"])
-                    sets.append(np.unique(gram_hashes(h, words, _Same())).view(np.int64))
-                yield pd.DataFrame({"node": keys, "grams": sets})
+        cutter = Paragraphs(words, 1)
+        with np.errstate(over="ignore"):
+            for pdf in batches:
+                for text, wanted in zip(pdf["text"], pdf["wanted"], strict=True):
+                    sets = [np.unique(cutter.grams(cutter.tokens(np.frombuffer(_encoded(text[w["s"] : w["e"]]), np.uint8))[2])).view(np.int64) for w in wanted]
+                    yield pd.DataFrame({"node": [w["node"] for w in wanted], "grams": sets})
 
     def sets(nodes: DataFrame) -> DataFrame:
-        wanted = nodes.join(reps, "node").groupBy(F.col("rep.id").alias("i"), F.col("rep.rid").alias("r")).agg(F.collect_list(F.struct("node", "rep.s", "e")).alias("wanted"))
-        wanted = small(staged(wanted, "wanted"), 50_000)
-        rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("rid"), F.col(text_col).alias("text"))
-        read = rows.join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("rid") == F.col("r"))).select("text", "wanted")
-        found = read.mapInPandas(run, "node binary, grams array<long>")
-        return staged(found.dropDuplicates(["node"]), "grams")  # a row that repeats gives its sets twice
+        places = reps.select(F.col("key").alias("node"), "id", "rid", "s", "e").join(small(nodes), "node")
+        wanted = staged(places.groupBy(F.col("id").alias("i"), F.col("rid").alias("r")).agg(F.collect_list(F.struct("node", "s", "e")).alias("wanted")), "wanted")
+        # Lists of a text's own paragraphs are as long as the text at most; so few are sent along with a broadcast.
+        read = rows.join(small(wanted, 20_000), F.col("id").eqNullSafe(F.col("i")) & (F.col("rid") == F.col("r"))).select("text", "wanted")
+        return staged(read.mapInPandas(run, "node binary, grams array<long>"), "grams")
 
     return sets
 
 
-class _Same(dict):
-    def __missing__(self, key: int) -> int:
-        return key
-
-
-def _estimate(a: Column, b: Column) -> Column:
-    """Jaccard estimate from one word of parities: 1 - ln(1 - 2z/64) * -64 / (4 * SAMPLES)."""
-    z = F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0))))
-    left = F.greatest(F.lit(1.0) - z * (2.0 / 64), F.lit(1e-3))
-    return 1.0 + F.log(left) * (64 / (4.0 * SAMPLES))
-
-
-def repeated_paragraphs(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, rid, s, e, first_id, kept) of every paragraph that others repeat, in code points, ends exclusive.
+def repeated_paragraphs(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = 0.99, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, rid, s, e, n_words, run, first_id, kept) of every paragraph that others repeat, in code points, ends exclusive.
 
-    kept is true for the first of each component (by id, hash of the text, place), first_id is that one's id. Null,
-    empty and short texts (under LEAST words) have no paragraphs. A row that repeats (id and text) counts once; null
-    ids come first; other columns aren't looked at; no rows give none. Every text is cut as a whole.
+    kept is true for the first of each component (by id, hash of the text, place), first_id is that one's id. run is
+    where the passage starts to which the paragraph belongs; passages of fewer than `run` words are no repeats. Null and
+    empty texts and those under `words` words have no paragraphs. A row that repeats (id and text) counts once; null ids
+    come first; other columns aren't looked at; no rows give none. Every text is cut as a whole.
     """
     bands = tuned_bands(percent / 100, recall, ROWS)
-    found = staged(paragraphs(docs, words, bands, id_col, text_col), "paragraphs")
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("rid"), F.col(text_col).alias("text"))
+    if not rows.groupBy("id", "rid").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["id", "rid"])
+    found = staged(paragraphs(rows, words, bands), "paragraphs")
     place = F.struct("id", "rid", "s")
-    reps = found.groupBy("key").agg(F.min(F.struct("id", "rid", "s", "e", "n", "bands", "odd")).alias("x"), F.count("*").alias("m"))
-    reps = staged(reps.select(F.col("key").alias("node"), F.struct("x.id", "x.rid", "x.s").alias("rep"), "x.e", F.col("x.n").alias("n_shingles"), "x.bands", "x.odd", "m"), "classes")
-    links = linked(reps, _sets_of(docs, reps.select("node", "rep", "e"), words, id_col, text_col), percent, round_pairs=ROUND_PAIRS, estimate=_estimate, slack=0.35)
-    label = components(links)
-    at = reps.select("node", "rep", "m").join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    groups = at.groupBy("c").agg(F.min("rep").alias("first"), F.sum("m").alias("total")).where("total > 1")
-    classes = staged(at.join(groups, "c").select(F.col("node").alias("key"), "first", "m"), "groups")
-    # Rows that repeat have counted twice so far; from here on each place counts once, and a group of one place drops out below.
-    each = join_hot(found.select("id", "rid", "s", "e", "key"), classes, ["key"], "m").select("id", "rid", "s", "e", "first")
-    each = staged(each.dropDuplicates(["id", "rid", "s"]), "occurrences")
-    # What overlaps the first paragraph in its own text is no repeat of it.
-    own = F.struct("id", "rid").eqNullSafe(F.struct("first.id", "first.rid"))
-    firsts = each.where(own).groupBy("first").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("x"))
-    chain = F.aggregate(F.slice("x", F.lit(2), F.size("x")), F.get("x", F.lit(0))["e"], lambda end, x: F.when(x["s"] < end, F.greatest(end, x["e"])).otherwise(end))
-    groups = each.groupBy("first").agg(F.count("*").alias("m")).join(firsts.select("first", chain.alias("until")), "first")
-    groups = staged(groups, "firsts")
-    marked = join_hot(each, groups, ["first"], "m").withColumn("kept", own & (F.col("s") < F.col("until")))
-    real = groups.join(marked.where("not kept").groupBy("first").agg(F.count("*").alias("again")), "first", "left_semi")
-    out = join_hot(each, staged(real, "repeated"), ["first"], "m").withColumn("kept", own & (F.col("s") < F.col("until")))
-    out = staged(out.select("id", "rid", "s", "e", F.col("first.id").alias("first_id"), "kept"), "repeats")
-    for x in (found, reps, classes, each):
+    shared = staged(found.groupBy("key").count().where("count > 1").select("key"), "shared")
+    again = found.select("key", "id", "rid", "s").join(small(shared), "key").groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("m"))
+    again = staged(again, "again")
+    reps = found.join(small(again.select("key", "first")), "key", "left").where(F.col("first").isNull() | place.eqNullSafe(F.col("first")))
+    sketches = reps.select(F.col("key").alias("node"), F.col("n").alias("n_shingles"), "bands", "odd")
+    label = similar_components(sketches, _sets_of(rows, reps, words), percent, words=WORDS, samples=max(SAMPLES, bands * ROWS))
+    label = staged(label.select(F.col("node").alias("key"), "component"), "labels")
+
+    alone = reps.where(F.col("first").isNull()).join(small(label.select("key")), "key", "left_semi").select("key", place.alias("first"), F.lit(1).cast("long").alias("m"))
+    classes = again.union(alone).join(label, "key", "left").withColumn("c", F.coalesce("component", "key"))
+    classes = staged(classes.select("key", "first", "m", "c"), "classes")
+    heads = classes.groupBy("c").agg(F.min("first").alias("head"))
+    heads = staged(classes.join(heads, "c").select("key", "head", "m"), "heads")
+    each = join_hot(found.select("id", "rid", "u", "w", "s", "e", "key"), heads, ["key"], "m").select("id", "rid", "u", "w", "s", "e", "head")
+    each = staged(each.withColumn("kept", place.eqNullSafe(F.col("head"))), "each")
+    for x in (found, shared, again, classes, heads):
         dropped(x)
-    return out
-
-
-def runs_of(spans: Column) -> Column:
-    """Sorted spans array<struct<s, e>> joined where they overlap or touch."""
-    none = F.array().cast("array<struct<s:int,e:int>>")
+    # Repeats side by side are one passage. Windows are a text's own paragraphs.
+    text = Window.partitionBy("id", "rid")
+    gone = each.where("not kept").withColumn("k", F.col("u") - F.row_number().over(text.orderBy("u")))
+    passage = Window.partitionBy("id", "rid", "k")
+    gone = gone.withColumns({"total": F.sum("w").over(passage), "run": F.min("s").over(passage)}).where(F.col("total") >= run)
+    gone = staged(gone.select("id", "rid", "s", "e", "w", "run", "head", "kept"), "gone")
+    keep = each.where("kept").join(small(gone.select("head").distinct()), "head", "left_semi").select("id", "rid", "s", "e", "w", F.col("s").alias("run"), "head", "kept")
+    return gone.union(keep).select("id", "rid", "s", "e", F.col("w").alias("n_words"), "run", F.col("head.id").alias("first_id"), "kept")
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
-        return F.when((F.size(acc) > 0) & (x["s"] <= F.try_element_at(acc, F.lit(-1))["e"]), joined).otherwise(F.concat(acc, F.array(x)))
 
-    return F.aggregate(spans, none, step)
+def passages(repeated: DataFrame) -> DataFrame:
+    """(id, rid, s, e, n_words) of the passages that go, from the rows of repeated_paragraphs."""
+    return repeated.where("not kept").groupBy("id", "rid", F.col("run").alias("s")).agg(F.max("e").alias("e"), F.sum("n_words").alias("n_words"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """docs with the text rid of repeated paragraphs but the first, and removed (runs of code points) added."""
-    gone = repeated_paragraphs(docs, id_col=id_col, text_col=text_col, **kw).where("not kept")
-    gone = gone.groupBy(F.col("id").alias("_id"), F.col("rid").alias("_rid")).agg(runs_of(F.array_sort(F.collect_set(F.struct("s", "e")))).alias("_runs"))
+    """docs with the text rid of repeated passages but the first, and removed (their code points) added.
+
+    Null texts stay null; rows that repeat are edited alike; a column removed of docs, if any, is replaced.
+    """
+    gone = passages(repeated_paragraphs(docs, id_col=id_col, text_col=text_col, **kw))
+    gone = gone.groupBy(F.col("id").alias("_id"), F.col("rid").alias("_rid")).agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("_runs"))
     out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_rid")), "left")
     out = out.withColumn("removed", F.coalesce("_runs", F.array().cast("array<struct<s:int,e:int>>")))
     ends = F.concat(F.array(F.lit(0)), F.transform("removed", lambda r: r["e"]))
