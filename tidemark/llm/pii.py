@@ -8,6 +8,7 @@ out. A pair must be seen in two different texts, or every rare word near an enti
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections import Counter
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small, staged
+from tidemark.llm.common import join_hot, small, staged
 
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR = 10  # words on either side, within the line
@@ -73,22 +74,28 @@ def _entity(kind: int, value: str) -> str:
 
 def _near(text: str, found: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
     """(entity, term, start, end) of the words within NEAR words of an entity in its line, outside all entities."""
-    out, blocked = [], sorted((s, e) for _, s, e in found)
-
-    def inside(s: int, e: int) -> bool:
-        import bisect
-
-        at = bisect.bisect_left(blocked, (e,))
-        return any(b[1] > s for b in blocked[max(0, at - 2) : at])
-
+    if not found:
+        return []
+    words = [m.span() for m in _TERM.finditer(text)]
+    begins, ends = [s for s, _ in words], [e for _, e in words]
+    blocked = sorted((s, e) for _, s, e in found)
+    first, until, reach = [s for s, _ in blocked], [], 0  # how far the entities up to each one reach
+    for _, e in blocked:
+        reach = max(reach, e)
+        until.append(reach)
+
+    def free(s: int, e: int) -> bool:
+        at = bisect.bisect_left(first, e)
+        return not at or until[at - 1] <= s
+
+    out = []
     for kind, s, e in found:
         low, high = text.rfind("\n", 0, s) + 1, text.find("\n", e)
         high = len(text) if high < 0 else high
-        low, high = max(low, s - 40 * NEAR), min(high, e + 40 * NEAR)  # ten words of forty characters
-        left = [(low + m.start(), low + m.end()) for m in _TERM.finditer(text[low:s])][-NEAR:]
-        right = [(e + m.start(), e + m.end()) for m in _TERM.finditer(text[e:high])][:NEAR]
+        upto, after = bisect.bisect_right(ends, s), bisect.bisect_left(begins, e)
+        around = words[max(bisect.bisect_left(begins, low), upto - NEAR) : upto] + words[after : min(bisect.bisect_right(ends, high), after + NEAR)]
         name = _entity(kind, text[s:e])
-        out += [(name, text[a:b].lower(), a, b) for a, b in left + right if not inside(a, b)]
+        out += [(name, text[a:b].lower(), a, b) for a, b in around if free(a, b)]
     return out
 
 
@@ -127,18 +134,20 @@ def _term_counts(docs: DataFrame) -> DataFrame:
 
 
 def disclosures(scanned: DataFrame, texts: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of the pairs seen in two different texts at least."""
+    """(entity, term, n_et, disclosure) of the pairs seen in two different texts at least, in n_et rows."""
     near = scanned.where(F.size("near") > 0).select("rid", F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"], x["term"]))).alias("near"))
     flat = near.select("rid", F.explode("near").alias("x")).select("rid", F.col("x.entity").alias("entity"), F.col("x.term").alias("term"))
     pairs = flat.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi")
     pairs = staged(pairs.select("entity", "term", "n_et"), "pairs")
     n_e = near.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     total = float(max(1, scanned.count()))
-    terms = _term_counts(texts).join(small(pairs.select("term").distinct()), "term", "left_semi")
-    all_ = pairs.join(terms, "term").join(n_e, "entity")
+    # A term may stand near a third of all entities, an entity beside a third of all terms: both are joined by join_hot.
+    per_term = staged(_term_counts(texts).join(small(pairs.groupBy("term").agg(F.count("*").alias("m"))), "term"), "terms")
+    per_entity = staged(n_e.join(small(pairs.groupBy("entity").agg(F.count("*").alias("m"))), "entity"), "entities")
+    all_ = join_hot(join_hot(pairs, per_term, ["term"], "m").drop("m"), per_entity, ["entity"], "m")
     prior = -F.log(F.least(F.col("n_e") / total, F.lit(0.999999)))
     given = -F.log(F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0)))
-    return all_.select("entity", "term", (1 - given / prior).alias("disclosure"))
+    return all_.select("entity", "term", "n_et", (1 - given / prior).alias("disclosure"))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -150,10 +159,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     scanned = staged(_scanned(rows, kind), "pii")
-    given = disclosures(scanned, rows.select("text")).where(F.col("disclosure") >= generalise)
+    given = staged(disclosures(scanned, rows.select("text")).where(F.col("disclosure") >= generalise), "disclosing")
     flat = scanned.where(F.size("near") > 0).select("id", "rid", F.explode("near").alias("x"))
     flat = flat.select("id", "rid", F.col("x.entity").alias("entity"), F.col("x.term").alias("term"), F.col("x.s").alias("s"), F.col("x.e").alias("e"))
-    hits = flat.join(given, ["entity", "term"]).groupBy("id", "rid", "s", "e").agg(F.max(F.col("disclosure") >= remove).alias("remove"))
+    hits = join_hot(flat, given, ["entity", "term"], "n_et").groupBy("id", "rid", "s", "e").agg(F.max(F.col("disclosure") >= remove).alias("remove"))
     hits = hits.groupBy(F.col("id").alias("id2"), F.col("rid").alias("rid2")).agg(F.array_sort(F.collect_set(F.struct("s", "e", "remove"))).alias("terms"))
     out = scanned.drop("near").join(hits, F.col("id").eqNullSafe(F.col("id2")) & (F.col("rid") == F.col("rid2")), "left")
     return out.select(F.col("id").alias(id_col), "rid", "base", F.coalesce("terms", F.array().cast("array<struct<s:int,e:int,remove:boolean>>")).alias("terms"))
