@@ -10,6 +10,8 @@ and have about its length.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,8 +25,8 @@ from tidemark.llm.common import staged
 DIM = 4096
 #: Labelled texts sampled for the centroids of a language (in expectation; by a hash of the text), and centroids.
 PER_LANG, CENTROIDS = 800, 4
-#: The labels learned are at most so many, the most frequent first, which bounds the model by LANGS * CENTROIDS * DIM numbers.
-LANGS = 500
+#: More labels than this are refused with an error: the model holds LANGS * CENTROIDS * DIM numbers at most.
+LANGS = 2000
 #: A text is rejected as far below the LOW quantile of the cosines of its class as that lies below their median (MARGIN at
 #: least). Classes of fewer than ENOUGH distinct texts are pooled with their neighbours. Cosines are counted in BINS.
 LOW, MARGIN, ENOUGH, BINS = 0.01, 0.05, 1000, 1000
@@ -33,7 +35,8 @@ UNKNOWN = "und"
 _CHUNK = 1 << 16
 
 
-_OTHER = re.compile(r"[\W\d_]+")
+#: What is no letter: word characters are letters, digits, the underscore, and numbers such as fractions and Roman numerals.
+_OTHER = re.compile(r"[\W\d_" + "".join(chr(c) for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No")) + "]+")
 
 
 def _letters(text: str) -> np.ndarray:
@@ -45,7 +48,7 @@ def _letters(text: str) -> np.ndarray:
 def ngram_counts(text: str | None, dim: int = DIM) -> np.ndarray:
     """Counts of hashed 1- to 3-grams of the whole text (dim is a power of two), all 0 without a letter.
 
-    Long texts are hashed in pieces. A character counts as a letter if it is a word character but no digit or underscore.
+    Long texts are hashed in pieces. Letters are the characters of the Unicode categories L.
     """
     out = np.zeros(dim, np.int64)
     code = _letters(text) if text else np.empty(0, np.uint32)
@@ -167,19 +170,27 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
     df = np.zeros(dim + 1)
     df[found["k"]] = found["n"]
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
-    langs = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("m"), F.count("*").alias("c")).orderBy(F.desc("c"), "lang").limit(LANGS)
+    langs = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("m"))
+    langs = staged(langs, "langs")
+    if langs.count() > LANGS:
+        raise ValueError(f"more than {LANGS} languages")
     span = 1 << 40
     chosen = rows.join(F.broadcast(langs), "lang").where(F.pmod(F.xxhash64(F.lit(17), "text"), F.lit(span)) < F.lit(float(span) * per_lang) / F.col("m"))
-    sample = staged(chosen.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")), "sample")
 
-    def vectors(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        counts = np.stack([ngram_counts(t, dim) for t in pdf["text"]])
-        use = counts.sum(axis=1) > 0
-        return counts[use], weighted(counts[use], idf)
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 128):
+                part = pdf.iloc[at : at + 128]
+                counts = np.stack([ngram_counts(t, dim) for t in part["text"]])
+                use = counts.sum(axis=1) > 0
+                yield pd.DataFrame({"lang": part["lang"][use], "h": part["h"][use], "x": list(weighted(counts[use], idf))})
+
+    # Vectors of a fixed size, not texts, are grouped by language: about per_lang * dim numbers a group.
+    sample = chosen.select("lang", F.xxhash64("text").alias("h"), "text").mapInPandas(vectors, "lang string, h long, x array<float>")
 
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, x = vectors(pdf.sort_values("h"))
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": list(_k_means(x, k)) if len(x) else []})
+        x = np.stack(pdf.drop_duplicates("h").sort_values("h")["x"])
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": list(_k_means(x, k))})
 
     got = sample.groupBy("lang").applyInPandas(centroids, "lang string, centroid array<float>").toPandas()
     if got.empty:
