@@ -15,10 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import GAP, n_words, staged
+from tidemark.llm.common import GAP, n_words, small, staged
 
 #: Words of a block, and of a shard; a source of more than MAX_SHARDS shards gets larger ones.
-BLOCK, SHARD, MAX_SHARDS = 16, 4_000_000, 4096
+BLOCK, SHARD, MAX_SHARDS = 16, 250_000, 65_536
 #: Sources are one row each in one task; more than this many are refused.
 MAX_SOURCES = 5_000_000
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -90,6 +90,11 @@ def _quotas(shards: DataFrame, most: float, block: int) -> DataFrame:
     return shards.groupBy("source").applyInPandas(run, "source string, shard long, shard_size long, quota long")
 
 
+def _key(seed: int, id_col: str, text_col: str, source_col: str) -> Column:
+    """A seeded hash of what tells rows of the mix apart."""
+    return F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")), F.col(source_col).cast("string"))
+
+
 def mixed_documents(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -110,7 +115,7 @@ def mixed_documents(
     own words; null ids count as an empty id; other columns of docs aren't looked at; no rows give no rows.
     Reruns and other partitionings give the same sums: rows that tie in the order are equal in id, text and source.
     """
-    key = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))
+    key = _key(seed, id_col, text_col, source_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"))
     rows = staged(rows, "sizes")
     sources = staged(_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most, block, shard), "sources")
@@ -142,20 +147,31 @@ def word_range(text: Column, first: Column, last: Column) -> Column:
     return F.array_join(F.slice(F.filter(F.split(text, GAP), lambda w: w != ""), (first + 1).cast("int"), (last - first).cast("int")), " ")
 
 
-def mixture(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+def mixture(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
     """The mix itself: a row of docs for each time it is taken, with `copy` (from 1) and `taken_words`.
 
-    A document taken in part has the words taken as its text. Rows that repeat (id and text) are each taken as the
-    least taken of them is; documents without words are never taken.
+    A document taken in part has the words taken as its text. Rows that repeat (id, text and source) are numbered by
+    their other columns, and each is taken as one of them is in the plan, so the mix holds the words of the plan.
+    Documents without words are never taken. The columns copy and taken_words of docs, if any, are replaced.
     """
-    plan = mixed_documents(docs, seed=seed, id_col=id_col, text_col=text_col, **kw).where("taken > 0")
-    plan = plan.groupBy(F.col(id_col).alias("_id"), F.col("key").alias("_key")).agg(F.min(F.struct("size", "whole", "part_from", "part_to")).alias("_p"))
-    plan = plan.select("_id", "_key", *(F.col(f"_p.{a}").alias(b) for a, b in (("size", "_size"), ("whole", "_whole"), ("part_from", "_from"), ("part_to", "_to"))))
-    key = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.withColumn("_k", key).join(plan, (F.col("_k") == F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_id")))
+    plan = staged(mixed_documents(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **kw).where("taken > 0"), "plan")
+    plan = plan.select(F.col("key").alias("_key"), F.col("size").alias("_size"), F.col("whole").alias("_whole"), F.col("part_from").alias("_from"), F.col("part_to").alias("_to"))
+    columns = [c for c in docs.columns if c not in ("copy", "taken_words")]
+    hashable = [f.name for f in docs.schema.fields if f.name in columns and "map<" not in f.dataType.simpleString()]
+    rows = docs.select(*columns).withColumn("_k", _key(seed, id_col, text_col, source_col))
+    again = staged(rows.groupBy("_k").count().where("count > 1").select("_k"), "again")
+    if again.isEmpty():
+        rows = rows.join(plan, F.col("_k") == F.col("_key"))
+    else:
+        number = Window.partitionBy("_k").orderBy(F.xxhash64(*hashable))
+        repeated = rows.join(small(again), "_k", "left_semi").withColumn("_n", F.row_number().over(number))
+        place = Window.partitionBy("_key").orderBy("_whole", "_from", "_to")
+        numbered = plan.withColumn("_m", F.row_number().over(place))
+        once = rows.join(small(again), "_k", "left_anti").join(plan, F.col("_k") == F.col("_key"))
+        rows = once.unionByName(repeated.join(numbered, (F.col("_k") == F.col("_key")) & (F.col("_n") == F.col("_m"))).drop("_n", "_m"))
     part = F.col("_to") > F.col("_from")
     times = F.col("_whole") + F.when(part, 1).otherwise(0)
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
     cut = (F.col("copy") > F.col("_whole")) & (F.col("_to") - F.col("_from") < F.col("_size"))
     words = F.when(F.col("copy") > F.col("_whole"), F.col("_to") - F.col("_from")).otherwise(F.col("_size"))
-    return rows.withColumn(text_col, F.when(cut, word_range(F.col(text_col), F.col("_from"), F.col("_to"))).otherwise(F.col(text_col))).select(*docs.columns, "copy", words.alias("taken_words"))
+    return rows.withColumn(text_col, F.when(cut, word_range(F.col(text_col), F.col("_from"), F.col("_to"))).otherwise(F.col(text_col))).select(*columns, "copy", words.alias("taken_words"))
