@@ -19,10 +19,12 @@ _written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else the context's, else one set here for local runs."""
+    """The folder all executors share: spark.checkpoint.dir, else the context's; on a local master alone else one set here."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     named = named or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -46,6 +48,17 @@ def dropped(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def staged_so_far() -> set[str]:
+    """The staged tables that stand, to tell later ones from."""
+    return set(_written)
+
+
+def dropped_since(before: set[str]) -> None:
+    """Delete what was staged after `before` was taken, once its readers have run."""
+    for path in set(_written) - before:
+        _delete(_written.pop(path), path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
