@@ -1,7 +1,8 @@
 """Corpus pipeline: language ID, line dedup, near-dedup, decontamination, mixing.
 
 Each stage takes the rows its predecessor kept. Extra columns of documents pass through; null texts are rejected by
-the first stage. The last stage returns the mix: the columns of documents, `copy` and `taken_words`.
+the first stage. Null ids are kept: they link with nothing. Rows that repeat are judged alike. Empty tables give empty
+ones. The last stage returns the mix: the columns of documents, `copy` and `taken_words`.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_dir, staged
+from tidemark.llm.common import dropped_since, shared_dir, staged, staged_so_far
 from tidemark.llm.decontamination import decontaminated
 from tidemark.llm.language_id import identified, learn
 from tidemark.llm.line_dedup import line_dedup
@@ -32,7 +33,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the least id, of each group of near-duplicates."""
+    """Keeps one document, that of the least id, of each group of near-duplicates. Rows of one id are one document."""
     gone = staged(near_components(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -53,10 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet to the shared folder and read again by the next."""
+    """All stages over documents, each written as Parquet to the shared folder and read again by the next.
+
+    What a stage staged goes once its rows are written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
+        before = staged_so_far()
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
+        dropped_since(before)
         docs = spark.read.parquet(f"{top}/{k}")
     return docs
