@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -14,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 #: A side of at most this many rows of a few machine words each (some 30 MB) may be broadcast.
 BROADCAST_ROWS = 400_000
+#: The same for rows of one or two longs (some 100 MB).
+MANY_LONGS = 1_500_000
 
 _written: dict[str, SparkSession] = {}
 
@@ -48,6 +51,12 @@ def dropped(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Let the driver forget finished plans, so that the cleaner removes their shuffle files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def staged_so_far() -> set[str]:
     """The staged tables that stand, to tell later ones from."""
     return set(_written)

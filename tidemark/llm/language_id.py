@@ -9,14 +9,12 @@ and have about its length.
 
 from __future__ import annotations
 
-import re
-import sys
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +33,8 @@ UNKNOWN = "und"
 _CHUNK = 1 << 16
 
 
-#: What is no letter: word characters are letters, digits, the underscore, and numbers such as fractions and Roman numerals.
-_OTHER = re.compile(r"[\W\d_" + "".join(chr(c) for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No")) + "]+")
+#: Runs of anything but letters (Unicode categories L): digits, fractions, Roman and ringed numbers, signs, marks.
+_OTHER = regex.compile(r"\P{L}+")
 
 
 def _letters(text: str) -> np.ndarray:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import dropped, join_hot, small, staged
+from tidemark.llm.common import MANY_LONGS, dropped, join_hot, small, staged, swept
 from tidemark.llm.graph import components
 
 #: Bands of a text, and values of its MinHash sample; bands take as many values as MISSED allows (see band_rows).
@@ -165,29 +165,39 @@ def alike(n_a: Column, n_b: Column, odd_a: list[Column], odd_b: list[Column], pe
     return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (apart <= most)
 
 
-def _confirmed(likely: DataFrame, sets, percent: int) -> DataFrame:
-    """The rows (a, b, n_a, n_b and others) of likely whose full sets reach the similarity. likely is read twice."""
-    grams = sets(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
+def _confirmed(likely: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """The rows (a, b, n_a, n_b and others) of likely whose full sets (node, grams) reach the similarity."""
     full = likely.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("g_a")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("g_b")), "b")
     both = full.withColumn("i", F.size(F.array_intersect("g_a", "g_b")))
     both = both.where(F.col("i") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("i")) * percent)
     return staged(both.drop("i", "g_a", "g_b"), "links")
 
 
-def similar_components(sketches: DataFrame, sets, percent: int, words: int = BITS // 64, samples: int = SAMPLES, errors: float = ERRORS, block: int = BLOCK) -> DataFrame:
+def _ends(likely: DataFrame) -> DataFrame:
+    return likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+
+
+def similar_components(banded: DataFrame, signs_of, sets, percent: int, words: int = BITS // 64, samples: int = SAMPLES, errors: float = ERRORS, block: int = BLOCK, short: bool = False) -> DataFrame:
     """(node, component) of the nodes that links join: pairs that share a band and whose full sets reach the similarity.
 
-    sketches: (node, n_shingles, bands, odd), one row a node, read several times; odd holds `words` longs. sets: nodes
-    (node) -> (node, grams). Where a bucket holds unlike nodes, those outside its largest component are compared with
-    all others: its rows by the nodes that stand alone, in a few machine operations a pair.
+    banded: (node, bands), read twice; a node may repeat. signs_of: nodes (node) -> (node, n_shingles, bands, odd), a row a
+    node, odd of `words` longs. sets: nodes (node) -> (node, grams). Where a bucket holds nodes of several components,
+    those of different ones are compared within it, in a few machine operations a pair. With `short`, for sets of some tens
+    of shingles, the sets themselves go into that comparison, and links leave it; else likely pairs do.
     """
     most = most_bits(percent / 100, samples, words * 64, errors)
-    rows = sketches.select("node", F.posexplode("bands").alias("band", "value"))
-    # Values are counted by themselves first: two longs a row, added up in memory, and most values stand alone.
-    shared = staged(rows.groupBy("value").agg(F.count("*").alias("m")).where("m > 1"), "shared")
-    buckets = staged(rows.join(small(shared.select("value")), "value"), "buckets")
-    signs = sketches.join(small(buckets.select("node").distinct()), "node", "left_semi").select("node", "n_shingles", "bands", *(F.get("odd", F.lit(k)).alias(f"o{k}") for k in range(words)))
-    signs = staged(signs, "signs")
+    rows = banded.select("node", F.posexplode("bands").alias("band", "value"))
+    # Values are counted by themselves first: a few machine words a row, added up in memory, and most values stand alone.
+    # A hash of the node tells whether there are several, however often one repeats.
+    of = rows.select("value", F.hash("node").alias("h")).groupBy("value").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    shared = staged(of.where("lo <> hi").select("value"), "shared")
+    del of
+    swept(banded.sparkSession)
+    buckets = staged(rows.join(small(shared, MANY_LONGS), "value").distinct(), "buckets")
+    dropped(shared)
+    signs = signs_of(small(staged(buckets.select("node").distinct(), "bucketed"), MANY_LONGS))
+    signs = staged(signs.select("node", "n_shingles", "bands", *(F.get("odd", F.lit(k)).alias(f"o{k}") for k in range(words))), "signs")
+    swept(banded.sparkSession)
     odd = lambda s: [F.col(f"o{k}_{s}") for k in range(words)]
     side = lambda df, s, *more: df.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n_{s}"), *(F.col(f"o{k}").alias(f"o{k}_{s}") for k in range(words)), *more)
 
@@ -195,7 +205,8 @@ def similar_components(sketches: DataFrame, sets, percent: int, words: int = BIT
     pairs = buckets.join(pivots, "value").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     likely = pairs.join(side(signs, "a"), "a").join(side(signs, "b"), "b").where(alike(F.col("n_a"), F.col("n_b"), odd("a"), odd("b"), percent, most))
     likely = staged(likely.select("a", "b", "n_a", "n_b"), "likely")
-    links = _confirmed(likely, sets, percent)
+    grams = sets(_ends(likely))
+    links = _confirmed(likely, grams, percent)
     dropped(likely)
     label = staged(components(links), "label")
     dropped(links)
@@ -206,27 +217,43 @@ def similar_components(sketches: DataFrame, sets, percent: int, words: int = BIT
     rest = at.join(small(staged(open_, "open")), "value").join(signs, "node")
     rest = rest.withColumns({"own": F.pmod(F.xxhash64("node"), "blocks").cast("int"), "before": F.slice("bands", F.lit(1), F.col("band"))})
     rest = staged(rest.drop("bands"), "rest")
-    for x in (shared, buckets, at):
+    for x in (buckets, at):
         dropped(x)
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """Sets that have been made once are not made again."""
+        nodes = staged(nodes, "ends")
+        missing = staged(nodes.join(grams.select("node"), "node", "left_anti"), "missing")
+        return grams.join(small(nodes), "node", "left_semi").unionByName(sets(missing))
+
+    extra = []
+    if short:
+        rest = staged(rest.join(sets_of(rest.select("node").distinct()), "node"), "rest")
+        extra = ["grams"]
     # A block meets itself and every other: the lower of the two stands at the left.
-    left = side(rest.withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1))), "a", "value", F.col("own").alias("i"), "j", F.col("c").alias("c_a"), F.col("before").alias("before_a"))
-    right = side(rest.withColumn("i", F.explode(F.sequence(F.lit(0), "own"))), "b", "value", "i", F.col("own").alias("j"), F.col("c").alias("c_b"), F.col("before").alias("before_b"))
+    left = side(rest.withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1))), "a", "value", F.col("own").alias("i"), "j", F.col("c").alias("c_a"), F.col("before").alias("before_a"), *(F.col(x).alias(f"{x}_a") for x in extra))
+    right = side(rest.withColumn("i", F.explode(F.sequence(F.lit(0), "own"))), "b", "value", "i", F.col("own").alias("j"), F.col("c").alias("c_b"), F.col("before").alias("before_b"), *(F.col(x).alias(f"{x}_b") for x in extra))
     first = ~F.arrays_overlap("before_a", "before_b")  # a pair counts at the first band it shares
     l, r = left.alias("l"), right.alias("r")  # noqa: E741
     same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("value", "i", "j")]
     once = ((F.col("l.i") < F.col("l.j")) | (F.col("a") < F.col("b"))) & (F.col("c_a") != F.col("c_b"))
-    met = l.join(r, same[0] & same[1] & same[2] & once & alike(F.col("n_a"), F.col("n_b"), odd("a"), odd("b"), percent, most) & first)
-    likely = staged(met.select("a", "b", "n_a", "n_b", "c_a", "c_b"), "likely")
-    dropped(rest)
-    dropped(signs)
-    links = _confirmed(likely, sets, percent)
-    dropped(likely)
+    likely = once & alike(F.col("n_a"), F.col("n_b"), odd("a"), odd("b"), percent, most) & first
+    if short:
+        both = F.size(F.array_intersect("grams_a", "grams_b"))
+        met = l.join(r, same[0] & same[1] & same[2] & likely & (both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent))
+        links = staged(met.select("a", "b", "c_a", "c_b"), "links")
+    else:
+        met = staged(l.join(r, same[0] & same[1] & same[2] & likely).select("a", "b", "n_a", "n_b", "c_a", "c_b"), "likely")
+        links = _confirmed(met, sets_of(_ends(met)), percent)
+        dropped(met)
+    for x in (rest, signs, grams):
+        dropped(x)
     # Labels that later links join: the components of components.
     joined = staged(components(links.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))), "joined")
-    known = label.join(joined.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+    again = label.join(joined.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
     alone = joined.join(label.select("node"), "node", "left_anti").select("node", "component")
     dropped(links)
-    return known.union(alone)
+    return again.union(alone)
 
 
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,7 +279,8 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             found = found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
         return staged(found, "grams")
 
-    label = staged(similar_components(reps.select("node", "n_shingles", "bands", "odd"), sets, percent), "labels")
+    sketches = reps.select("node", "n_shingles", "bands", "odd")
+    label = staged(similar_components(sketches.select("node", "bands"), lambda nodes: sketches.join(nodes, "node", "left_semi"), sets, percent), "labels")
     dropped(reps)
     # The ids of linked sets: the least of a component stands for it. Ids that stand for several sets join those too.
     named = classes.join(label.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("c", F.coalesce("component", "set_key"))

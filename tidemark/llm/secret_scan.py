@@ -222,19 +222,18 @@ def discoveries(tested: DataFrame, fdr: float = FDR, alpha: float = ALPHA) -> Da
     return binned.join(F.broadcast(limits), "stratum").where((F.col("bin") >= F.col("from_bin")) & (F.col("p_random") >= alpha)).drop("stratum", "bin", "from_bin")
 
 
-def clear_of(tokens: DataFrame) -> DataFrame:
-    """tokens (id, rid, base, x) whose span x meets no base span; a text's spans are put in order once."""
-    plain = tokens.where(F.size("base") == 0).select("id", "rid", "x")
-    crowded = tokens.where(F.size("base") > 0)
-    own = crowded.select("id", "rid", F.col("x.s").alias("s"), F.col("x.e").alias("e"), "x")
-    fixed = crowded.select("id", "rid", "base").dropDuplicates(["id", "rid"]).select("id", "rid", F.explode("base").alias("b"))
+def clear_of(found: DataFrame) -> DataFrame:
+    """(id, rid, x) of the tokens of found (id, rid, base, tokens) that meet no base span; a text's spans are put in order once."""
+    tokens = found.where(F.size("tokens") > 0).select("id", "rid", (F.size("base") > 0).alias("crowded"), F.explode("tokens").alias("x"))
+    own = tokens.where("crowded").select("id", "rid", F.col("x.s").alias("s"), F.col("x.e").alias("e"), "x")
+    fixed = found.where((F.size("tokens") > 0) & (F.size("base") > 0)).select("id", "rid", F.explode("base").alias("b"))
     both = own.unionByName(fixed.select("id", "rid", F.col("b.s").alias("s"), F.col("b.e").alias("e")), allowMissingColumns=True)
-    of = Window.partitionBy("id", "rid").orderBy("s")
-    base_end = F.max(F.when(F.col("x").isNull(), F.col("e"))).over(of.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    base_next = F.min(F.when(F.col("x").isNull(), F.col("s"))).over(of.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    upto = lambda order: Window.partitionBy("id", "rid").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    base_end = F.max(F.when(F.col("x").isNull(), F.col("e"))).over(upto(F.asc("s")))
+    base_next = F.min(F.when(F.col("x").isNull(), F.col("s"))).over(upto(F.desc("s")))
     seen = both.withColumns({"base_end": base_end, "base_next": base_next}).where("x is not null")
     free = (F.coalesce("base_end", F.lit(0)) <= F.col("s")) & (F.col("base_next").isNull() | (F.col("base_next") >= F.col("e")))
-    return plain.union(seen.where(free).select("id", "rid", "x"))
+    return tokens.where("not crowded").select("id", "rid", "x").union(seen.where(free).select("id", "rid", "x"))
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,8 +256,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     base = F.array_sort(F.concat(kind(0, F.col("assign")), kind(1, F.col("access")), kind(2, F.col("hex"))))
     found = staged(found.select("id", "rid", base.alias("base"), "tokens"), "secrets")
-    tokens = found.where(F.size("tokens") > 0).select("id", "rid", "base", F.explode("tokens").alias("x"))
-    tokens = clear_of(tokens).select("id", "rid", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.t").alias("token")).distinct()
+    tokens = clear_of(found).select("id", "rid", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.t").alias("token")).distinct()
     picked = discoveries(staged(battery(tokens), "battery")).groupBy("id", "rid").agg(F.array_sort(F.collect_set(F.struct("s", F.lit(3).alias("kind"), "e"))).alias("added"))
     picked = picked.select(F.col("id").alias("id2"), F.col("rid").alias("rid2"), "added")
     out = found.drop("tokens").join(picked, F.col("id").eqNullSafe(F.col("id2")) & (F.col("rid") == F.col("rid2")), "left")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import dropped, join_hot, small, staged
+from tidemark.llm.common import dropped, join_hot, small, staged, swept
 from tidemark.llm.near_dedup import mixed, similar_components
 
 #: Words of a paragraph within a block at least, and of a repeated passage.
@@ -27,7 +27,9 @@ LEAST, RUN = 12, 16
 #: Sentences of more words end at words chosen by their hash too, one in LONG_END.
 LONG, LONG_END = 32, 12
 #: MinHash values of a band, of the sample, and words of 64 bits in an odd sketch.
-ROWS, SAMPLES, WORDS = 3, 48, 2
+ROWS, SAMPLES, WORDS = 2, 48, 2
+#: Keys that a task remembers: of a paragraph it has met, the bands are not given again.
+MET = 200_000
 #: Bytes of text that are cut at once; a longer text is cut by itself, in some 60 bytes a byte of it.
 AT_ONCE = 1 << 19
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
@@ -59,6 +61,19 @@ class Paragraphs:
         self.add = rng.integers(0, 2**32, self.k, dtype=np.uint32)[:, None]
         self.salt = rng.integers(0, 2**63, self.k, dtype=np.uint64)[:, None]
         self.powers = np.ones(1, np.uint64)
+        self.met: set[bytes] = set()
+
+    def first_time(self, keys: np.ndarray) -> np.ndarray:
+        """Which of the keys this task meets for the first time."""
+        raw = keys.tobytes()
+        new = []
+        for at in range(0, len(raw), 16):
+            key = raw[at : at + 16]
+            new.append(key not in self.met)
+            self.met.add(key)
+        if len(self.met) > MET:
+            self.met.clear()
+        return np.array(new, bool)
 
     def tokens(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ends, hashes) of the words of UTF-8 bytes; a character of a script without spaces is a word."""
@@ -164,17 +179,21 @@ def _encoded(text: str) -> bytes:
 
 
 def paragraphs(rows: DataFrame, words: int, bands: int) -> DataFrame:
-    """(id, rid, u, w, s, e, key, n, bands, odd) of rows (id, rid, text): the paragraphs, counted by u, of w words; key is a 128-bit hash of their words in order."""
+    """(id, rid, u, w, s, e, key, n, bands, odd) of rows (id, rid, text): the paragraphs, counted by u, of w words; key is a 128-bit
+    hash of their words in order. A task gives the bands of a key once, so that copies don't multiply what is shuffled."""
     kind = rows.schema["id"].dataType.simpleString()
 
-    def table(ids: pa.Array, rids: pa.Array, part: tuple) -> pa.RecordBatch:
+    def table(cutter: Paragraphs, ids: pa.Array, rids: pa.Array, part: tuple) -> pa.RecordBatch:
         who, place, long, s, e, keys, n, values, odd = part
         at, count = pa.array(who), len(s)
         offsets = lambda k: np.arange(0, (count + 1) * k, k, dtype=np.int32)
         lists = lambda x: pa.ListArray.from_arrays(offsets(x.shape[1]), np.ascontiguousarray(x).view(np.int64).ravel())
+        new = cutter.first_time(keys)  # an empty list of bands for the others
+        ends = np.concatenate([[0], np.cumsum(new * values.shape[1])]).astype(np.int32)
+        banded = pa.ListArray.from_arrays(ends, np.ascontiguousarray(values[new]).view(np.int64).ravel())
         named = pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(offsets(16)), pa.py_buffer(np.ascontiguousarray(keys))])
         ints = [pa.array(x.astype(np.int32)) for x in (place, long, s, e)]
-        columns = [ids.take(at), rids.take(at), *ints, named, pa.array(n.astype(np.int32)), lists(values), lists(odd)]
+        columns = [ids.take(at), rids.take(at), *ints, named, pa.array(n.astype(np.int32)), banded, lists(odd)]
         return pa.RecordBatch.from_arrays(columns, ["id", "rid", "u", "w", "s", "e", "key", "n", "bands", "odd"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,31 +208,30 @@ def paragraphs(rows: DataFrame, words: int, bands: int) -> DataFrame:
                     held += len(texts[-1])
                     if held >= AT_ONCE or k + 1 == len(column):
                         for part in cutter.rows(texts):
-                            yield table(ids.slice(begun), rids.slice(begun), part)
+                            yield table(cutter, ids.slice(begun), rids.slice(begun), part)
                         texts, held, begun = [], 0, k + 1
 
     return rows.mapInArrow(run, f"id {kind}, rid long, u int, w int, s int, e int, key binary, n int, bands array<long>, odd array<long>")
 
 
-def _sets_of(rows: DataFrame, reps: DataFrame, words: int):
-    """nodes (node) -> (node, grams): the full shingle sets of the classes' first paragraphs."""
+def gram_sets(rows: DataFrame, places: DataFrame, words: int) -> DataFrame:
+    """(node, grams): the full shingle sets of the paragraphs at places (node, id, rid, s, e)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cutter = Paragraphs(words, 1)
         with np.errstate(over="ignore"):
             for pdf in batches:
                 for text, wanted in zip(pdf["text"], pdf["wanted"], strict=True):
-                    sets = [np.unique(cutter.grams(cutter.tokens(np.frombuffer(_encoded(text[w["s"] : w["e"]]), np.uint8))[2])).view(np.int64) for w in wanted]
+                    parts = [_encoded(text[w["s"] : w["e"]]) for w in wanted]
+                    starts, _, h = cutter.tokens(np.frombuffer(b"\n".join(parts), np.uint8))
+                    cuts = np.searchsorted(starts, np.cumsum([len(p) + 1 for p in parts])[:-1])
+                    sets = [np.unique(cutter.grams(x)).view(np.int64) for x in np.split(h, cuts)]
                     yield pd.DataFrame({"node": [w["node"] for w in wanted], "grams": sets})
 
-    def sets(nodes: DataFrame) -> DataFrame:
-        places = reps.select(F.col("key").alias("node"), "id", "rid", "s", "e").join(small(nodes), "node")
-        wanted = staged(places.groupBy(F.col("id").alias("i"), F.col("rid").alias("r")).agg(F.collect_list(F.struct("node", "s", "e")).alias("wanted")), "wanted")
-        # Lists of a text's own paragraphs are as long as the text at most; so few are sent along with a broadcast.
-        read = rows.join(small(wanted, 20_000), F.col("id").eqNullSafe(F.col("i")) & (F.col("rid") == F.col("r"))).select("text", "wanted")
-        return staged(read.mapInPandas(run, "node binary, grams array<long>"), "grams")
-
-    return sets
+    wanted = staged(places.groupBy(F.col("id").alias("i"), F.col("rid").alias("r")).agg(F.collect_list(F.struct("node", "s", "e")).alias("wanted")), "wanted")
+    # Lists of a text's own paragraphs are as long as the text at most; so few are sent along with a broadcast.
+    read = rows.join(small(wanted, 20_000), F.col("id").eqNullSafe(F.col("i")) & (F.col("rid") == F.col("r"))).select("text", "wanted")
+    return staged(read.mapInPandas(run, "node binary, grams array<long>"), "grams")
 
 
 def repeated_paragraphs(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = 0.99, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,23 +248,37 @@ def repeated_paragraphs(docs: DataFrame, words: int = 5, percent: int = 80, reca
         rows = rows.dropDuplicates(["id", "rid"])
     found = staged(paragraphs(rows, words, bands), "paragraphs")
     place = F.struct("id", "rid", "s")
-    shared = staged(found.groupBy("key").count().where("count > 1").select("key"), "shared")
-    again = found.select("key", "id", "rid", "s").join(small(shared), "key").groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("m"))
-    again = staged(again, "again")
-    reps = found.join(small(again.select("key", "first")), "key", "left").where(F.col("first").isNull() | place.eqNullSafe(F.col("first")))
-    sketches = reps.select(F.col("key").alias("node"), F.col("n").alias("n_shingles"), "bands", "odd")
-    label = similar_components(sketches, _sets_of(rows, reps, words), percent, words=WORDS, samples=max(SAMPLES, bands * ROWS))
+    classes = found.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("m"))
+    again = staged(classes.where("m > 1"), "again")
+    swept(docs.sparkSession)
+    kept = []
+
+    def signs_of(nodes: DataFrame) -> DataFrame:
+        """The first paragraph of each node, with its sketch; bands are equal in all that have them."""
+        of = found.join(nodes.select(F.col("node").alias("key")), "key")
+        first = F.min(F.struct("id", "rid", "s", "e")).alias("x")
+        got = of.groupBy(F.col("key").alias("node")).agg(first, F.first("n").alias("n_shingles"), F.max("bands").alias("bands"), F.first("odd").alias("odd"))
+        kept.append(staged(got.select("node", "x.*", "n_shingles", "bands", "odd"), "first"))
+        return kept[0]
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        return gram_sets(rows, kept[0].join(small(nodes), "node").select("node", "id", "rid", "s", "e"), words)
+
+    label = similar_components(found.where(F.size("bands") > 0).select(F.col("key").alias("node"), "bands"), signs_of, sets, percent, words=WORDS, samples=max(SAMPLES, bands * ROWS), short=True)
     label = staged(label.select(F.col("node").alias("key"), "component"), "labels")
+    swept(docs.sparkSession)
 
-    alone = reps.where(F.col("first").isNull()).join(small(label.select("key")), "key", "left_semi").select("key", place.alias("first"), F.lit(1).cast("long").alias("m"))
+    own = kept[0].join(label.select(F.col("key").alias("node")), "node", "left_semi").select(F.col("node").alias("key"), place.alias("first"), F.lit(1).cast("long").alias("m"))
+    alone = own.join(again.select("key"), "key", "left_anti")
     classes = again.union(alone).join(label, "key", "left").withColumn("c", F.coalesce("component", "key"))
     classes = staged(classes.select("key", "first", "m", "c"), "classes")
     heads = classes.groupBy("c").agg(F.min("first").alias("head"))
     heads = staged(classes.join(heads, "c").select("key", "head", "m"), "heads")
     each = join_hot(found.select("id", "rid", "u", "w", "s", "e", "key"), heads, ["key"], "m").select("id", "rid", "u", "w", "s", "e", "head")
     each = staged(each.withColumn("kept", place.eqNullSafe(F.col("head"))), "each")
-    for x in (found, shared, again, classes, heads):
+    for x in (found, again, classes, heads, kept[0]):
         dropped(x)
+    swept(docs.sparkSession)
     # Repeats side by side are one passage. Windows are a text's own paragraphs.
     text = Window.partitionBy("id", "rid")
     gone = each.where("not kept").withColumn("k", F.col("u") - F.row_number().over(text.orderBy("u")))
