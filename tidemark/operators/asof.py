@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Series ids that are sent along with the targets; more are spread as a table of their own.
+MANY = 10_000
+
+
 def as_of(targets: DataFrame, values: DataFrame, by: list[str], at: str, carry: list[str], strict: bool = False, then: list[str] | None = None) -> DataFrame:
     """targets with the columns `carry` of the last row of values at or before (strict: before) `at`, within `by`.
 
@@ -26,8 +30,10 @@ def as_of(targets: DataFrame, values: DataFrame, by: list[str], at: str, carry:
 
 
 def on_every(targets: DataFrame, series: DataFrame) -> DataFrame:
-    """Each target once for each series id: the list of ids is distinct and small against the targets."""
-    return targets.crossJoin(F.broadcast(series.select("series_id").distinct()))
+    """Each target once for each series id: a grid, which is the result asked for. The ids are broadcast if they are few."""
+    ids = series.select("series_id").distinct()
+    few = ids.limit(MANY + 1).count() <= MANY
+    return targets.crossJoin(F.broadcast(ids) if few else ids)
 
 
 def rolling_link(df: DataFrame, x: Column, y: Column, n: int = 60) -> dict[str, Column]:

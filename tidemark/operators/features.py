@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import START, full, lag, log_return, ratio, rows, series
+from tidemark.functions.order_statistics import scored
 
 
 def true_range() -> Column:
@@ -38,26 +40,12 @@ def level_scores(bars: DataFrame, least: int = 250) -> DataFrame:
     mean = F.avg(x).over(past)
     var = (F.avg(x * x).over(past) - mean * mean) * n / (n - 1)
     df = df.withColumn("level_zscore", F.when((n >= least) & (var > 0), (x - mean) / F.sqrt(var)))
-    return df.withColumn("level_percentile", expanding_percentile(x, least))
+    return scored(df, [("percentile", "level", "level_percentile", least)])
 
 
-def expanding_percentile(x: Column, least: int) -> Column:
-    """Share of the earlier values at most the current, given `least` of them. The history of a series is one array."""
-    past = F.collect_list(x).over(rows(START, -1))
-    return F.when((F.size(past) >= least) & x.isNotNull(), F.size(F.filter(past, lambda v: v <= x)) / F.size(past))
-
-
-def robust_z(df: DataFrame, column: str, least: int = 250) -> DataFrame:
+def robust_z(df: DataFrame, *columns: str, least: int = 250) -> DataFrame:
     """Adds column_z: (x - median) / (1.4826 MAD) over the values up to and with the current, null where the MAD is 0."""
-    known = df.where(F.col(column).isNotNull())
-    frame = rows(START, 0)
-    known = known.select("series_id", "session", F.col(column).alias("x"), F.percentile(column, F.lit(0.5)).over(frame).alias("med"), F.collect_list(column).over(frame).alias("past"))
-    off = F.array_sort(F.transform("past", lambda v: F.abs(v - F.col("med"))))
-    n = F.size("past")
-    known = known.where(n >= least).withColumn("off", off)
-    mid = (F.element_at("off", F.floor((n + 1) / 2).cast("int")) + F.element_at("off", F.ceil((n + 1) / 2).cast("int"))) / 2
-    known = known.withColumn("mad", mid).select("series_id", "session", F.when(F.col("mad") > 0, (F.col("x") - F.col("med")) / (1.4826 * F.col("mad"))).alias(f"{column}_z"))
-    return df.join(known, ["series_id", "session"], "left")
+    return scored(df, [("robust", c, f"{c}_z", least) for c in columns])
 
 
 def technical(bars: DataFrame) -> DataFrame:
@@ -78,22 +66,28 @@ def technical(bars: DataFrame) -> DataFrame:
 
 
 def wilder_rsi(bars: DataFrame, window: int = 14) -> DataFrame:
-    """Adds rsi_14: Wilder's recursion as a fold over the ordered closes of a series; a null close starts it anew."""
-    state = F.struct(F.lit(None).cast("double").alias("c"), F.lit(0).alias("n"), F.lit(0.0).alias("g"), F.lit(0.0).alias("l"), F.array().cast("array<struct<session:date,rsi:double>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        move = x["close"] - s["c"]
-        up, down = F.greatest(move, F.lit(0.0)), F.greatest(-move, F.lit(0.0))
-        n = F.when(move.isNull(), 0).otherwise(s["n"] + 1)
-        fold = lambda a, v: F.when(move.isNull(), 0.0).when(s["n"] < window, a + v / window).otherwise((a * (window - 1) + v) / window)
-        g, l = fold(s["g"], up), fold(s["l"], down)
-        rsi = F.when(n < window, None).when((g == 0) & (l == 0), 50.0).when(l == 0, 100.0).otherwise(100.0 - 100.0 / (1 + g / F.greatest(l, F.lit(1e-300))))
-        return F.struct(x["close"].alias("c"), n.alias("n"), g.alias("g"), l.alias("l"), F.concat(s["out"], F.array(F.struct(x["session"].alias("session"), rsi.alias("rsi")))).alias("out"))
-
-    # A series is one fold in any form; the pieces of output are one small struct a session.
-    lists = bars.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("session", "close"))).alias("x"))
-    out = lists.select("series_id", F.explode(F.aggregate("x", state, step, lambda s: s["out"])).alias("r")).select("series_id", "r.session", F.col("r.rsi").alias("rsi_14"))
-    return bars.join(out, ["series_id", "session"], "left")
+    """Adds rsi_14: Wilder's recursion along a series; a null close starts it anew. One step a session."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("session")
+        out, last, n, gain, loss = [], math.nan, 0, 0.0, 0.0
+        for close in pdf["close"].to_numpy(float).tolist():
+            move, last = close - last, close
+            if move != move:
+                n, gain, loss = 0, 0.0, 0.0
+                out.append(math.nan)
+                continue
+            n += 1
+            up, down = max(move, 0.0), max(-move, 0.0)
+            if n <= window:
+                gain, loss = gain + up / window, loss + down / window
+            else:
+                gain, loss = (gain * (window - 1) + up) / window, (loss * (window - 1) + down) / window
+            out.append(math.nan if n < window else 50.0 if gain == loss == 0 else 100.0 if loss == 0 else 100.0 - 100.0 / (1 + gain / loss))
+        return pd.DataFrame({"series_id": pdf["series_id"], "session": pdf["session"], "rsi_14": out})
+
+    got = bars.select("series_id", "session", F.col("close").cast("double")).groupBy("series_id").applyInPandas(run, "series_id string, session date, rsi_14 double")
+    return bars.join(got.withColumn("rsi_14", F.when(~F.isnan("rsi_14"), F.col("rsi_14"))), ["series_id", "session"], "left")
 
 
 def regime(bars: DataFrame) -> DataFrame:
@@ -121,7 +115,7 @@ def reversion(bars: DataFrame, least: int = 250) -> DataFrame:
     df = bars.withColumns({"i": F.row_number().over(series()), "up": F.coalesce(F.col("close") > lag("close"), F.lit(False)), "ret_5": log_return(F.col("close"), 5)})
     broke = F.max(F.when(~F.col("up"), F.col("i"))).over(rows(START, 0))
     df = df.withColumn("run", F.col("i") - broke)
-    return df.withColumns({"streak_up": lag("run"), "ret_5_pct": expanding_percentile(F.col("ret_5"), least)}).drop("i", "up", "run")
+    return scored(df.withColumn("streak_up", lag("run")).drop("i", "up", "run"), [("percentile", "ret_5", "ret_5_pct", least)])
 
 
 def breadth(bars: DataFrame) -> DataFrame:

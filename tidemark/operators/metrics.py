@@ -28,6 +28,33 @@ def performance(returns: DataFrame, by: str = "series_id", r: str = "net", year:
     )
 
 
+def against_benchmark(returns: DataFrame, r: str, benchmark: str, by: str = "series_id", year: int = 252) -> DataFrame:
+    """By series: beta and alpha over a benchmark aligned session by session, mean excess, and the benchmark's own return and Sharpe.
+
+    Without variance of the benchmark beta and alpha are null."""
+    x, b = F.col(r), F.col(benchmark)
+    df = returns.where(x.isNotNull() & b.isNotNull())
+    got = df.groupBy(by).agg(
+        F.count("*").alias("n"), F.when(F.max(b) > F.min(b), F.regr_slope(x, b)).alias("beta"), F.avg(x).alias("_s"), F.avg(b).alias("_b"), (F.exp(F.sum(F.log1p(b))) - 1).alias("_t"),
+        F.when(F.max(b) == F.min(b), 0.0).otherwise(F.avg(b) / F.stddev_samp(b) * math.sqrt(year)).alias("benchmark_sharpe"),
+    )
+    return got.select(by, "n", "beta", ((F.col("_s") - F.col("beta") * F.col("_b")) * 100).alias("alpha_pct"), ((F.col("_s") - F.col("_b")) * 100).alias("mean_excess_pct"), (F.col("_t") * 100).alias("benchmark_return_pct"), "benchmark_sharpe")
+
+
+def trade_statistics(returns: DataFrame, by: str = "series_id", r: str = "net", least_span: int = 30) -> DataFrame:
+    """By series of (session, net, traded): sessions and trades, total return, mean trade, mean gain and loss and their ratio, trades a year.
+
+    What has no trades, gains or losses is null; a span under least_span days has no yearly rate."""
+    x, t = F.col(r), F.col("traded")
+    win, loss = F.avg(F.when(t & (x > 0), x)), F.avg(F.when(t & (x < 0), x))
+    span = F.datediff(F.max("session"), F.min("session"))
+    trades = F.count_if(t)
+    return returns.where(x.isNotNull()).groupBy(by).agg(
+        F.count("*").alias("n_sessions"), trades.alias("n_trades"), F.count_if(~t).alias("n_no_trade"), ((F.exp(F.sum(F.log1p(x))) - 1) * 100).alias("total_return_pct"), (F.avg(F.when(t, x)) * 100).alias("ev_per_trade_pct"),
+        (win * 100).alias("average_win_pct"), (loss * 100).alias("average_loss_pct"), F.try_divide(win, F.abs(loss)).alias("payoff_ratio"), span.alias("session_span_days"), F.when(span >= least_span, trades * 365.25 / span).alias("trades_per_year"),
+    )
+
+
 def drawdowns(returns: DataFrame, r: str = "net") -> DataFrame:
     """(series_id, session, equity, drawdown, under): equity from 1 (to nine digits, so that flat sessions tie), its distance to the peak, sessions since the peak."""
     w = Window.partitionBy("series_id").orderBy("session")
@@ -82,24 +109,31 @@ def bootstrap(returns: DataFrame, by: str = "series_id", r: str = "net", draws:
 def har_forecasts(features: DataFrame, least: int = 22) -> DataFrame:
     """(series_id, session, har_forecast): exp of the next log variance by least squares on the rows before, refit each row.
 
-    The normal equations run along the series, so a row costs one small solve.
+    The normal equations are running sums along the series, solved for all its rows at once; a row without full rank or
+    with fewer than `least` rows before it has no forecast.
     """
+    lags = ["har_lag1", "har_lag4", "har_lag17"]
+
+    def logs(x: np.ndarray) -> np.ndarray:
+        return np.log(x, where=x > 0, out=np.full(x.shape, np.nan))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("session")
-        x = np.log(pdf[["har_lag1", "har_lag4", "har_lag17"]].to_numpy(float), where=pdf[["har_lag1", "har_lag4", "har_lag17"]].to_numpy(float) > 0, out=np.full((len(pdf), 3), np.nan))
-        rv = pdf["parkinson_rv"].to_numpy(float)
-        y = np.log(rv, where=rv > 0, out=np.full(len(rv), np.nan))
-        a, b, n, out = np.zeros((4, 4)), np.zeros(4), 0, np.full(len(pdf), np.nan)
-        for i in range(len(pdf)):
-            row = np.concatenate([[1.0], x[i]])
-            if np.isfinite(row).all():
-                if n >= least and np.linalg.matrix_rank(a) == 4:
-                    out[i] = math.exp(row @ np.linalg.solve(a, b))
-                if np.isfinite(y[i]):
-                    a, b, n = a + np.outer(row, row), b + row * y[i], n + 1
+        x, y = logs(pdf[lags].to_numpy(float)), logs(pdf["parkinson_rv"].to_numpy(float))
+        row = np.column_stack([np.ones(len(x)), x])
+        ready = np.isfinite(row).all(axis=1)
+        known = ready & np.isfinite(y)
+        used = np.where(known[:, None], row, 0.0)
+        before = lambda sums: np.concatenate([np.zeros_like(sums[:1]), sums[:-1]])
+        n = before(np.cumsum(known))
+        a = before(np.cumsum(used[:, :, None] * used[:, None, :], axis=0))
+        b = before(np.cumsum(used * np.where(known, y, 0.0)[:, None], axis=0))
+        at = np.flatnonzero(ready & (n >= least))
+        at = at[np.linalg.matrix_rank(a[at]) == 4] if len(at) else at
+        out = np.full(len(x), np.nan)
+        if len(at):
+            out[at] = np.exp((row[at] * np.linalg.solve(a[at], b[at][:, :, None])[:, :, 0]).sum(axis=1))
         return pd.DataFrame({"series_id": pdf["series_id"], "session": pdf["session"], "har_forecast": out})
 
-    return features.select("series_id", "session", "parkinson_rv", "har_lag1", "har_lag4", "har_lag17").groupBy("series_id").applyInPandas(run, "series_id string, session date, har_forecast double")
-
-
+    got = features.select("series_id", "session", "parkinson_rv", *lags).groupBy("series_id").applyInPandas(run, "series_id string, session date, har_forecast double")
+    return got.withColumn("har_forecast", F.when(~F.isnan("har_forecast"), F.col("har_forecast")))
