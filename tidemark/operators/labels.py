@@ -6,32 +6,50 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import lag
+from tidemark.operators.costs import SPREAD_HALF_PCT
 
+#: The declared spread of a round trip, as a share of the notional.
+ROUND_TRIP = 2 * float(SPREAD_HALF_PCT) / 100
 
-def triple_barrier(days: DataFrame, k: float = 1.0, coverage: float = 0.95) -> DataFrame:
-    """Labels of days (session, entry, high, low, close, sigma, expected, ticks array<struct<k, high, low>> in order).
+
+def triple_barrier(days: DataFrame, ticks: DataFrame, k: float = 1.0, coverage: float = 0.95) -> DataFrame:
+    """Labels of days (session, entry, high, low, close, sigma, expected) by their ticks (session, k, high, low) in the order of k.
 
     Ticks decide if they cover enough of what is expected, else the day's range does. The first tick that touches a
     barrier decides; one that touches both counts as a stop for either side. Without a touch the exit is the close.
+    Ticks meet the barriers of their day row by row, and only the first that touches is kept.
     """
     df = days.withColumns({"upper": F.col("entry") * (1 + F.col("sigma") * k), "lower": F.col("entry") * (1 - F.col("sigma") * k)})
-    enough = (F.size("ticks") > 0) & (F.size("ticks") >= F.col("expected") * coverage)
-    used = F.when(enough, F.col("ticks")).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("k"), F.col("high").alias("high"), F.col("low").alias("low"))))
-    df = df.withColumns({"order_source": F.when(enough, "intraday").otherwise("daily"), "hit": F.try_element_at(F.filter(used, lambda b: (b["high"] >= F.col("upper")) | (b["low"] <= F.col("lower"))), F.lit(1))})
+    level = ticks.join(df.select("session", "upper", "lower"), "session")
+    touches = (F.col("high") >= F.col("upper")) | (F.col("low") <= F.col("lower"))
+    seen = level.groupBy("session").agg(F.count("*").alias("observed"), F.min_by(F.when(touches, F.struct("high", "low")), F.when(touches, F.col("k"))).alias("first"))
+    df = df.join(seen, "session", "left")
+    enough = F.coalesce((F.col("observed") > 0) & (F.col("observed") >= F.col("expected") * coverage), F.lit(False))
+    day = F.when((F.col("high") >= F.col("upper")) | (F.col("low") <= F.col("lower")), F.struct("high", "low"))
+    df = df.withColumns({"order_source": F.when(enough, "intraday").otherwise("daily"), "hit": F.when(enough, F.col("first")).otherwise(day)})
     up, down = F.col("hit.high") >= F.col("upper"), F.col("hit.low") <= F.col("lower")
     side = lambda win, lose: F.when(F.col("hit").isNull(), "time").when(lose, "stop").when(win, "target")
     df = df.withColumns({"label_long": side(up, down), "label_short": side(down, up)})
     leave = lambda label, win, lose: F.when(F.col(label) == "target", F.col(win)).when(F.col(label) == "stop", F.col(lose)).otherwise(F.col("close"))
     df = df.withColumns({"exit_long": leave("label_long", "upper", "lower"), "exit_short": leave("label_short", "lower", "upper")})
-    return df.withColumns({"ret_long": F.col("exit_long") / F.col("entry") - 1, "ret_short": 1 - F.col("exit_short") / F.col("entry"), "tie": F.coalesce(up & down, F.lit(False))}).drop("hit", "ticks")
+    return df.withColumns({"ret_long": F.col("exit_long") / F.col("entry") - 1, "ret_short": 1 - F.col("exit_short") / F.col("entry"), "tie": F.coalesce(up & down, F.lit(False))}).drop("hit", "first", "observed")
 
 
-def label_summary(labels: DataFrame, label: str, ret: str) -> DataFrame:
-    """Counts by label, chance and mean of gains and losses, and the expected value."""
+def label_summary(labels: DataFrame, label: str, ret: str, spread: float = ROUND_TRIP) -> DataFrame:
+    """Counts by label, chances of target, stop and gain, mean gain and loss, the expected value, its identity
+    p_win * e_gain - (1 - p_win) * e_loss, and the value net of the spread. e_loss is the mean loss as a positive number."""
     r = F.col(ret)
-    return labels.groupBy().agg(
-        F.count("*").alias("n"), F.count_if(F.col(label) == "target").alias("n_target"), F.count_if(F.col(label) == "stop").alias("n_stop"), F.count_if(F.col(label) == "time").alias("n_time"), F.avg((r > 0).cast("int")).alias("p_win"), F.avg(F.when(r > 0, r)).alias("e_gain"), F.avg(F.when(r <= 0, r)).alias("e_loss"), F.avg(r).alias("ev")
+    share = lambda what: F.avg((F.col(label) == what).cast("int"))
+    got = labels.groupBy().agg(
+        F.count("*").alias("n"),
+        *(F.count_if(F.col(label) == what).alias(f"n_{what}") for what in ("target", "stop", "time")),
+        *(share(what).alias(f"p_{what}") for what in ("target", "stop", "time")),
+        F.avg((r > 0).cast("int")).alias("p_win"),
+        F.avg(F.when(r > 0, r)).alias("e_gain"),
+        F.avg(F.when(r <= 0, -r)).alias("e_loss"),
+        F.avg(r).alias("ev"),
     )
+    return got.withColumns({"ev_identity": F.col("p_win") * F.col("e_gain") - (1 - F.col("p_win")) * F.col("e_loss"), "ev_net": F.col("ev") - spread})
 
 
 def walk_forward(sessions: DataFrame, n_splits: int, test_size: int, horizon: int = 0, embargo: int = 0, most_train: int | None = None) -> DataFrame:
@@ -51,18 +69,6 @@ def walk_forward(sessions: DataFrame, n_splits: int, test_size: int, horizon: in
     return grid.withColumn("role", F.when(test, "test").when(train, "train")).where("role is not null").select("fold", "position", "session", "role")
 
 
-def charged(trades: DataFrame, spread_bp: str = "2.5", carry_bp: str = "1.25", fx_bp: str = "5", slippage_bp: str | None = None) -> DataFrame:
-    """Adds exact decimal costs to trades (notional decimal, nights int): spread twice, carry a night, conversion, total.
-
-    The total with slippage is null where slippage is not measured.
-    """
-    part = lambda bp: (F.col("notional") * F.lit(bp).cast("decimal(9,4)") / F.lit(10000).cast("decimal(9,0)")).cast("decimal(28,8)")
-    slip = F.lit(None).cast("decimal(28,8)") if slippage_bp is None else part(slippage_bp)
-    df = trades.withColumns({"spread_in": part(spread_bp), "spread_out": part(spread_bp), "carry": (part(carry_bp) * F.col("nights").cast("decimal(5,0)")).cast("decimal(28,8)"), "fx": part(fx_bp), "slippage": slip})
-    declared = sum((F.col(c) for c in ("spread_out", "carry", "fx")), F.col("spread_in")).cast("decimal(28,8)")
-    return df.withColumn("declared", declared).withColumn("total", (F.col("declared") + F.col("slippage")).cast("decimal(28,8)"))
-
-
 def bias(bars: DataFrame) -> DataFrame:
     """Deterministic deciders known before the open: momentum over five sessions and the reversal of the gap (-1, 0, 1)."""
     gap = F.col("open") / lag("close") - 1
@@ -78,11 +84,13 @@ def simulated(decided: DataFrame, side: str, cost: float = 0.0005) -> DataFrame:
     return decided.withColumns({"status": status, "net": F.when(~usable, None).when(s == 0, 0.0).otherwise((F.col("close") / F.col("open") - 1) * s - cost)})
 
 
-def window_pnl(trades: DataFrame) -> DataFrame:
-    """Adds day, week and month totals of pnl over the trades of earlier sessions in the same bucket (session, pnl by series)."""
-    by = lambda *b: Window.partitionBy("series_id", *b).orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
-    total = lambda w: F.coalesce(F.sum("pnl").over(w), F.lit(0.0))
-    week = F.trunc("session", "week")
-    return trades.withColumns({"week_pnl": total(by(week)), "month_pnl": total(by(F.trunc("session", "month")))})
-
+def window_pnl(trades: DataFrame, limits: dict[str, float] | None = None) -> DataFrame:
+    """Adds day, week and month totals of pnl over the trades of earlier sessions in the same bucket (session, pnl by series).
 
+    Only trades closed before the session count, so the day's total is always 0. With limits (by day, week or month, in
+    units of pnl) a flag says whether the total has reached minus the limit.
+    """
+    over = lambda bucket: Window.partitionBy("series_id", bucket).orderBy(F.unix_date("session")).rangeBetween(Window.unboundedPreceding, -1)
+    buckets = {"day": F.col("session"), "week": F.trunc("session", "week"), "month": F.trunc("session", "month")}
+    out = trades.withColumns({f"{name}_pnl": F.coalesce(F.sum("pnl").over(over(b)), F.lit(0.0)) for name, b in buckets.items()})
+    return out.withColumns({f"{name}_stop": F.col(f"{name}_pnl") <= -limit for name, limit in (limits or {}).items()})

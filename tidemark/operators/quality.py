@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import lag, series
+from tidemark.functions.order_statistics import quantiles
 
 
 def rejected(bars: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
@@ -16,16 +17,24 @@ def rejected(bars: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     return bars.withColumn("reject_code", code)
 
 
-def bar_rules() -> list[tuple[str, Column]]:
+def bar_rules(volume_expected: bool = False, session_hours: Column | None = None) -> list[tuple[str, Column]]:
+    """The rules in order, (code, condition); the first that holds names the rejection.
+
+    All copies of a repeated (series_id, session) are rejected. Null volume counts where it is expected; session_hours,
+    the local time of an intraday bar, has to lie within the session.
+    """
     copies = F.count("*").over(Window.partitionBy("series_id", "session"))
-    return [
-        ("null_price", F.col("open").isNull() | F.col("high").isNull() | F.col("low").isNull() | F.col("close").isNull()),
+    rules = [
         ("duplicate", copies > 1),
-        ("not_positive", F.least("open", "high", "low", "close") <= 0),
-        ("high_below_low", F.col("high") < F.col("low")),
-        ("outside_range", (F.greatest("open", "close") > F.col("high")) | (F.least("open", "close") < F.col("low"))),
-        ("single_tick", F.col("volume") < 2),
+        ("null_ohlc", F.col("open").isNull() | F.col("high").isNull() | F.col("low").isNull() | F.col("close").isNull()),
+        ("ohlc_incoherent", (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close"))),
+        ("negative_volume", F.col("volume") < 0),
     ]
+    if volume_expected:
+        rules.append(("null_volume", F.col("volume").isNull()))
+    if session_hours is not None:
+        rules.append(("out_of_window", ~F.date_format(session_hours, "HH:mm:ss").between("09:30:00", "16:00:00")))
+    return rules
 
 
 def stale_runs(bars: DataFrame, least: int = 5, days: int = 4, value: str = "close") -> DataFrame:
@@ -62,8 +71,14 @@ def drift_segments(bars: DataFrame, key: Column, name: str) -> DataFrame:
     """By key, in basis points: mean and median of close over open, share above 0, t value, and the compounded return."""
     r = F.col("r")
     df = bars.select(key.alias(name), (F.col("close") / F.col("open") - 1).alias("r"))
-    return df.groupBy(name).agg(
-        F.count("r").alias("n"), (F.avg(r) * 1e4).alias("mean_bp"), (F.percentile(r, F.lit(0.5)) * 1e4).alias("median_bp"), F.avg((r > 0).cast("int")).alias("hit_rate"), (F.avg(r) / (F.stddev_samp(r) / F.sqrt(F.count(r)))).alias("t_value"), F.sum(F.log1p(r)).alias("log_total")
-    )
+    got = df.groupBy(name).agg(F.count("r").alias("n"), (F.avg(r) * 1e4).alias("mean_bp"), F.avg((r > 0).cast("int")).alias("hit_rate"), (F.avg(r) / (F.stddev_samp(r) / F.sqrt(F.count(r)))).alias("t_value"), F.sum(F.log1p(r)).alias("log_total"))
+    middle = quantiles(df, [name], r, {"median": 0.5})
+    return got.join(middle, name, "left").withColumn("median_bp", F.col("median") * 1e4).drop("median")
 
 
+def spreads(quotes: DataFrame, tranches: int, declared_pct: float) -> DataFrame:
+    """(tranche, n, mean_usd, mean_pct, over_declared_pct) of quotes (tranche, bid, ask); tranches without any stay, with nulls."""
+    pct = (F.col("ask") - F.col("bid")) / F.col("bid") * 100
+    got = quotes.groupBy("tranche").agg(F.count("*").alias("n"), F.avg(F.col("ask") - F.col("bid")).alias("mean_usd"), F.avg(pct).alias("mean_pct"), (F.avg(pct) - declared_pct).alias("over_declared_pct"))
+    every = quotes.sparkSession.range(tranches).select(F.col("id").cast("int").alias("tranche"))
+    return every.join(got, "tranche", "left").withColumn("n", F.coalesce("n", F.lit(0)))
