@@ -39,10 +39,11 @@ def test_rsi_edges(spark, closes, last):
 
 
 def test_barriers_tie_is_a_stop_for_both(spark):
-    tick = "array<struct<k:long,high:double,low:double>>"
-    rows = [(D[0], 100.0, 130.0, 70.0, 100.0, 0.1, 1, [(1, 120.0, 80.0)]), (D[1], 100.0, 105.0, 95.0, 104.0, 0.1, 4, [(1, 120.0, 100.0)])]
-    days = spark.createDataFrame(rows, f"session date, entry double, high double, low double, close double, sigma double, expected int, ticks {tick}")
-    tie, low = labels.triple_barrier(days).orderBy("session").collect()
+    rows = [(D[0], 100.0, 130.0, 70.0, 100.0, 0.1, 1), (D[1], 100.0, 105.0, 95.0, 104.0, 0.1, 4), (D[2], 100.0, 105.0, 95.0, 104.0, 0.1, 1)]
+    days = spark.createDataFrame(rows, "session date, entry double, high double, low double, close double, sigma double, expected int")
+    ticks = spark.createDataFrame([(D[0], 2, 80.0, 80.0), (D[0], 1, 120.0, 80.0), (D[1], 1, 120.0, 100.0)], "session date, k long, high double, low double")
+    tie, low, none = labels.triple_barrier(days, ticks).orderBy("session").collect()
+    assert (none.order_source, none.label_long) == ("daily", "time")
     assert (tie.label_long, tie.label_short, tie.tie) == ("stop", "stop", True)
     assert (low.order_source, low.label_long, low.exit_long) == ("daily", "time", 104.0)
 

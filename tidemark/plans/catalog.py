@@ -2,46 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import log_return, rounded
-from tidemark.operators import asof, features, labels, macro, metrics, quality
+from tidemark.operators import asof, costs, features, labels, macro, metrics, quality
+from tidemark.plans.registry import ANCHOR, BARS, QUERIES, SEGMENTS, SQL, W, full, over, query
 from tidemark.sources import adapters, store
 from tidemark.streaming.bars import windowed_bars
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-_BARS = """bars AS (SELECT {key} AS series_id, CAST(o_orderdate AS DATE) AS session, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
-    min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close, count(*) AS volume FROM {tables} GROUP BY 1, 2)"""
-BARS = _BARS.format(key="o_orderpriority", tables="orders")
-ANCHOR = _BARS.format(key="'anchor'", tables="orders")
-SEGMENTS = _BARS.format(key="c_mktsegment", tables="orders JOIN customer ON o_custkey = c_custkey")
-W = "WINDOW w AS (PARTITION BY series_id ORDER BY session)"
-
-
-def over(a: int | str, b: int) -> str:
-    end = lambda x: "UNBOUNDED PRECEDING" if isinstance(x, str) else "CURRENT ROW" if x == 0 else f"{-x} PRECEDING"
-    return f"OVER (PARTITION BY series_id ORDER BY session ROWS BETWEEN {end(a)} AND {end(b)})"
-
-
-def full(agg: str, x: str, a: int, b: int) -> str:
-    return f"(CASE WHEN count({x}) {over(a, b)} = {b - a + 1} THEN {agg}({x}) {over(a, b)} END)"
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
 @query("session_bars", f"WITH {BARS} SELECT * FROM bars")
 def session_bars(spark: SparkSession, sf: str) -> DataFrame:
     return adapters.order_bars(spark, sf)
@@ -95,7 +66,12 @@ def robust_zscore(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(features.robust_z(df, "dist_sma_20"), 6, "dist_sma_20", "dist_sma_20_z")
 
 
-@query("wilder_rsi")
+@query(
+    "wilder_rsi",
+    f"""WITH RECURSIVE {BARS}, m AS (SELECT series_id, session, close, close - lag(close) {over('u', 0)} AS d, row_number() OVER w AS i FROM bars {W}), seed AS (SELECT series_id, sum(greatest(d, 0)) / 14 AS g, sum(greatest(-d, 0)) / 14 AS l FROM m WHERE i BETWEEN 2 AND 15 GROUP BY series_id HAVING count(*) = 14),
+    r(series_id, i, g, l) AS (SELECT series_id, 15, g, l FROM seed UNION ALL SELECT m.series_id, CAST(m.i AS INTEGER), (r.g * 13 + greatest(m.d, 0)) / 14, (r.l * 13 + greatest(-m.d, 0)) / 14 FROM r JOIN m ON m.series_id = r.series_id AND m.i = r.i + 1)
+    SELECT m.series_id, m.session, m.close, round(CASE WHEN r.g = 0 AND r.l = 0 THEN 50 WHEN r.l = 0 THEN 100 ELSE 100 - 100 / (1 + r.g / r.l) END, 6) AS rsi_14 FROM m LEFT JOIN r ON r.series_id = m.series_id AND r.i = m.i""",
+)
 def wilder_rsi(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(features.wilder_rsi(adapters.order_bars(spark, sf)), 6, "rsi_14").select("series_id", "session", "close", "rsi_14")
 
@@ -199,9 +175,17 @@ def series_coverage(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("quality_rejections", f"WITH {BARS}, c AS (SELECT series_id, CASE WHEN least(open, high, low, close) <= 0 THEN 'not_positive' WHEN high < low THEN 'high_below_low' WHEN volume < 2 THEN 'single_tick' END AS reject_code FROM bars) SELECT series_id, reject_code, count(*) AS n FROM c GROUP BY ALL")
+_FEED = """feed AS (SELECT CAST(o_custkey AS VARCHAR) AS series_id, CAST(o_orderdate AS DATE) AS session, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS open, o_totalprice * (1 + (o_orderkey % 7 - 3) / 100) AS close,
+    greatest(o_totalprice, o_totalprice * (1 + (o_orderkey % 7 - 3) / 100)) * (1 + (o_orderkey % 5 - 1) / 100) AS high, least(o_totalprice, o_totalprice * (1 + (o_orderkey % 7 - 3) / 100)) * 0.99 AS low, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderkey % 13 - 1 END AS volume FROM orders)"""
+
+
+@query(
+    "quality_rejections",
+    f"""WITH {_FEED}, c AS (SELECT CASE WHEN count(*) OVER (PARTITION BY series_id, session) > 1 THEN 'duplicate' WHEN open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL THEN 'null_ohlc'
+        WHEN high < greatest(open, close) OR low > least(open, close) THEN 'ohlc_incoherent' WHEN volume < 0 THEN 'negative_volume' WHEN volume IS NULL THEN 'null_volume' END AS reject_code FROM feed) SELECT reject_code, count(*) AS n FROM c GROUP BY ALL""",
+)
 def quality_rejections(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.rejected(adapters.order_bars(spark, sf), quality.bar_rules()).groupBy("series_id", "reject_code").agg(F.count("*").alias("n"))
+    return quality.rejected(adapters.raw_feed(spark, sf), quality.bar_rules(volume_expected=True)).groupBy("reject_code").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -251,12 +235,11 @@ def drift_by_weekday(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rounded(got, 4, "mean_bp", "median_bp", "log_total"), 6, "hit_rate", "t_value")
 
 
-def _label_days(spark: SparkSession, sf: str) -> DataFrame:
-    day = F.col("o_orderdate").cast("date")
-    o = adapters.table(spark, sf, "orders")
-    ticks = o.groupBy(F.lit("anchor").alias("series_id"), day.alias("session")).agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("high"), F.col("o_totalprice").alias("low")))).alias("ticks"))
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    ticks = adapters.table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("session"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("high"), F.col("o_totalprice").alias("low"))
     b = adapters.order_bars(spark, sf, anchor=True)
-    return b.join(ticks, ["series_id", "session"]).select("session", F.col("open").alias("entry"), "high", "low", "close", F.lit(0.3).cast("double").alias("sigma"), F.when(F.col("volume") % 7 == 0, F.col("volume") * 2).otherwise(F.col("volume")).alias("expected"), "ticks")
+    days = b.select("session", F.col("open").alias("entry"), "high", "low", "close", F.lit(0.3).cast("double").alias("sigma"), F.when(F.col("volume") % 7 == 0, F.col("volume") * 2).otherwise(F.col("volume")).alias("expected"))
+    return labels.triple_barrier(days, ticks)
 
 
 _LABELS = f"""{ANCHOR}, d AS (SELECT session, open AS entry, high, low, close, open * 1.3 AS upper, open * 0.7 AS lower, volume % 7 <> 0 AS fine FROM bars),
@@ -269,16 +252,18 @@ _LABELS = f"""{ANCHOR}, d AS (SELECT session, open AS entry, high, low, close, o
 
 @query("triple_barrier_labels", f"WITH {_LABELS} SELECT session, order_source, label_long, label_short, round(ret_long, 6) AS ret_long, round(ret_short, 6) AS ret_short FROM lab")
 def triple_barrier_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(labels.triple_barrier(_label_days(spark, sf)).select("session", "order_source", "label_long", "label_short", "ret_long", "ret_short"), 6, "ret_long", "ret_short")
+    return rounded(_labelled(spark, sf).select("session", "order_source", "label_long", "label_short", "ret_long", "ret_short"), 6, "ret_long", "ret_short")
 
 
 @query(
     "label_summary",
-    f"""WITH {_LABELS} SELECT count(*) AS n, count_if(label_long = 'target') AS n_target, count_if(label_long = 'stop') AS n_stop, count_if(label_long = 'time') AS n_time, round(avg(CAST(ret_long > 0 AS INTEGER)), 6) AS p_win,
-        round(avg(CASE WHEN ret_long > 0 THEN ret_long END), 6) AS e_gain, round(avg(CASE WHEN ret_long <= 0 THEN ret_long END), 6) AS e_loss, round(avg(ret_long), 6) AS ev FROM lab""",
+    f"""WITH {_LABELS}, s AS (SELECT count(*) AS n, count_if(label_long = 'target') AS n_target, count_if(label_long = 'stop') AS n_stop, count_if(label_long = 'time') AS n_time, avg(CAST(ret_long > 0 AS INTEGER)) AS p_win,
+        avg(CASE WHEN ret_long > 0 THEN ret_long END) AS e_gain, avg(CASE WHEN ret_long <= 0 THEN -ret_long END) AS e_loss, avg(ret_long) AS ev FROM lab)
+    SELECT n, n_target, n_stop, n_time, round(n_target / n, 6) AS p_target, round(n_stop / n, 6) AS p_stop, round(n_time / n, 6) AS p_time, round(p_win, 6) AS p_win, round(e_gain, 6) AS e_gain, round(e_loss, 6) AS e_loss, round(ev, 6) AS ev,
+        round(p_win * e_gain - (1 - p_win) * e_loss, 6) AS ev_identity, round(ev - 0.000042, 6) AS ev_net FROM s""",
 )
 def label_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(labels.label_summary(labels.triple_barrier(_label_days(spark, sf)), "label_long", "ret_long"), 6, "p_win", "e_gain", "e_loss", "ev")
+    return rounded(labels.label_summary(_labelled(spark, sf), "label_long", "ret_long"), 6, "p_target", "p_stop", "p_time", "p_win", "e_gain", "e_loss", "ev", "ev_identity", "ev_net")
 
 
 @query(
@@ -296,15 +281,16 @@ def walk_forward_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "cost_breakdown",
-    """WITH t AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18, 2)) AS notional, CAST(o_orderkey % 3 AS INTEGER) AS nights FROM orders),
-    c AS (SELECT *, CAST(notional AS DECIMAL(28, 2)) * CAST(0.00025 AS DECIMAL(9, 8)) AS spread, CAST(notional AS DECIMAL(28, 2)) * CAST(0.000125 AS DECIMAL(9, 8)) AS night FROM t)
-    SELECT o_orderkey, CAST(CAST(spread AS DECIMAL(28, 8)) AS VARCHAR) AS spread_in, CAST(CAST(CAST(night AS DECIMAL(28, 8)) * nights AS DECIMAL(28, 8)) AS VARCHAR) AS carry,
-        CAST(CAST(4 * CAST(spread AS DECIMAL(28, 8)) + CAST(night AS DECIMAL(28, 8)) * nights AS DECIMAL(28, 8)) AS VARCHAR) AS declared FROM c""",
+    """WITH t AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18, 2)) AS notional, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS side, CAST(o_orderkey % 3 AS INTEGER) AS nights FROM orders),
+    c AS (SELECT *, CASE WHEN side < 0 THEN CAST(-0.0018 AS DECIMAL(10, 8)) ELSE CAST(0.0182 AS DECIMAL(10, 8)) END * nights AS carry FROM t), d AS (SELECT *, CAST(0.0042 AS DECIMAL(12, 8)) + CAST(carry AS DECIMAL(12, 8)) AS declared FROM c)
+    SELECT o_orderkey, CAST(CAST(carry AS DECIMAL(20, 10)) AS VARCHAR) AS carry_pct, CAST(CAST(declared AS DECIMAL(20, 10)) AS VARCHAR) AS declared_pct, CAST(CAST(declared + CAST(0.2 AS DECIMAL(12, 8)) AS DECIMAL(20, 10)) AS VARCHAR) AS total_pct,
+        CAST(CAST(CAST(notional AS DECIMAL(20, 2)) * declared * CAST(0.01 AS DECIMAL(3, 2)) AS DECIMAL(28, 10)) AS VARCHAR) AS declared_usd, true AS slippage_dominates FROM d""",
 )
 def cost_breakdown(spark: SparkSession, sf: str) -> DataFrame:
-    trades = adapters.table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("notional"), (F.col("o_orderkey") % 3).cast("int").alias("nights"))
-    cols = ["spread_in", "carry", "declared"]
-    return labels.charged(trades).select("o_orderkey", *[F.col(c).cast("string").alias(c) for c in cols])
+    k = F.col("o_orderkey")
+    trades = adapters.table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("notional"), F.when(k % 2 == 0, 1).otherwise(-1).alias("side"), (k % 3).cast("int").alias("nights"))
+    got = costs.charged(trades, slippage=Decimal("0.2"))
+    return got.select("o_orderkey", *[F.col(c).cast("string").alias(c) for c in ("carry_pct", "declared_pct", "total_pct", "declared_usd")], "slippage_dominates")
 
 
 _SIM = f"""{BARS}, bi AS (SELECT *, open / lag(close) OVER w - 1 AS gap, coalesce(sign(lag(close, 1) OVER w / lag(close, 6) OVER w - 1), 0) AS mom FROM bars {W}),
@@ -379,13 +365,13 @@ def rank_correlation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "window_pnl",
-    f"""WITH {BARS}, t AS (SELECT series_id, session, close - open AS pnl FROM bars)
-    SELECT series_id, session, round(pnl, 4) AS pnl, round(coalesce(sum(pnl) OVER (PARTITION BY series_id, date_trunc('week', session) ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS week_pnl,
-        round(coalesce(sum(pnl) OVER (PARTITION BY series_id, date_trunc('month', session) ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS month_pnl FROM t""",
+    f"""WITH {BARS}, t AS (SELECT series_id, session, close - open AS pnl FROM bars), x AS (SELECT *, coalesce(sum(pnl) OVER (PARTITION BY series_id, date_trunc('week', session) ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS week_pnl,
+        coalesce(sum(pnl) OVER (PARTITION BY series_id, date_trunc('month', session) ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS month_pnl FROM t)
+    SELECT series_id, session, round(pnl, 4) AS pnl, 0.0 AS day_pnl, round(week_pnl, 4) AS week_pnl, round(month_pnl, 4) AS month_pnl, week_pnl <= -100000 AS week_stop, month_pnl <= -200000 AS month_stop FROM x""",
 )
 def window_pnl(spark: SparkSession, sf: str) -> DataFrame:
     t = adapters.order_bars(spark, sf).select("series_id", "session", (F.col("close") - F.col("open")).alias("pnl"))
-    return rounded(labels.window_pnl(t), 4, "pnl", "week_pnl", "month_pnl")
+    return rounded(labels.window_pnl(t, {"week": 100_000.0, "month": 200_000.0}), 4, "pnl", "week_pnl", "month_pnl")
 
 
 @query(
@@ -404,3 +390,6 @@ def har_forecasts(spark: SparkSession, sf: str) -> DataFrame:
 @query("bootstrap_intervals")
 def bootstrap_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.bootstrap(_simulated(spark, sf)), 8, "lo", "hi")
+
+
+from tidemark.plans import decisions, feeds, market, research  # noqa: E402, F401  they register their queries
