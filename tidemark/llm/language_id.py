@@ -181,7 +181,8 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
                 part = pdf.iloc[at : at + 128]
                 counts = np.stack([ngram_counts(t, dim) for t in part["text"]])
                 use = counts.sum(axis=1) > 0
-                yield pd.DataFrame({"lang": part["lang"][use], "h": part["h"][use], "x": list(weighted(counts[use], idf))})
+                if use.any():
+                    yield pd.DataFrame({"lang": part["lang"][use], "h": part["h"][use], "x": list(weighted(counts[use], idf))})
 
     # Vectors of a fixed size, not texts, are grouped by language: about per_lang * dim numbers a group.
     sample = chosen.select("lang", F.xxhash64("text").alias("h"), "text").mapInPandas(vectors, "lang string, h long, x array<float>")

@@ -177,12 +177,12 @@ def _ends(likely: DataFrame) -> DataFrame:
     return likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
 
 
-def similar_components(banded: DataFrame, signs_of, sets, percent: int, words: int = BITS // 64, samples: int = SAMPLES, errors: float = ERRORS, block: int = BLOCK, short: bool = False) -> DataFrame:
+def similar_components(banded: DataFrame, signs_of, sets, percent: int, words: int = BITS // 64, samples: int = SAMPLES, errors: float = ERRORS, block: int = BLOCK) -> DataFrame:
     """(node, component) of the nodes that links join: pairs that share a band and whose full sets reach the similarity.
 
     banded: (node, bands), read twice; a node may repeat. signs_of: nodes (node) -> (node, n_shingles, bands, odd), a row a
-    node, odd of `words` longs. sets: nodes (node) -> (node, grams). Where a bucket holds nodes of several components,
-    those of different ones are compared within it, in a few machine operations a pair. With `short`, for sets of some tens
+    node, odd of `words` longs. sets: nodes (node) -> (node, grams), or None where signs_of gives grams itself. Where a bucket holds nodes of several components,
+    those of different ones are compared within it, in a few machine operations a pair. Without `sets`, for sets of some tens
     of shingles, the sets themselves go into that comparison, and links leave it; else likely pairs do.
     """
     most = most_bits(percent / 100, samples, words * 64, errors)
@@ -196,7 +196,8 @@ def similar_components(banded: DataFrame, signs_of, sets, percent: int, words: i
     buckets = staged(rows.join(small(shared, MANY_LONGS), "value").distinct(), "buckets")
     dropped(shared)
     signs = signs_of(small(staged(buckets.select("node").distinct(), "bucketed"), MANY_LONGS))
-    signs = staged(signs.select("node", "n_shingles", "bands", *(F.get("odd", F.lit(k)).alias(f"o{k}") for k in range(words))), "signs")
+    short = sets is None
+    signs = staged(signs.select("node", "n_shingles", "bands", *(["grams"] if short else []), *(F.get("odd", F.lit(k)).alias(f"o{k}") for k in range(words))), "signs")
     swept(banded.sparkSession)
     odd = lambda s: [F.col(f"o{k}_{s}") for k in range(words)]
     side = lambda df, s, *more: df.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n_{s}"), *(F.col(f"o{k}").alias(f"o{k}_{s}") for k in range(words)), *more)
@@ -205,7 +206,7 @@ def similar_components(banded: DataFrame, signs_of, sets, percent: int, words: i
     pairs = buckets.join(pivots, "value").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     likely = pairs.join(side(signs, "a"), "a").join(side(signs, "b"), "b").where(alike(F.col("n_a"), F.col("n_b"), odd("a"), odd("b"), percent, most))
     likely = staged(likely.select("a", "b", "n_a", "n_b"), "likely")
-    grams = sets(_ends(likely))
+    grams = signs.select("node", "grams") if short else sets(_ends(likely))
     links = _confirmed(likely, grams, percent)
     dropped(likely)
     label = staged(components(links), "label")
@@ -226,10 +227,7 @@ def similar_components(banded: DataFrame, signs_of, sets, percent: int, words: i
         missing = staged(nodes.join(grams.select("node"), "node", "left_anti"), "missing")
         return grams.join(small(nodes), "node", "left_semi").unionByName(sets(missing))
 
-    extra = []
-    if short:
-        rest = staged(rest.join(sets_of(rest.select("node").distinct()), "node"), "rest")
-        extra = ["grams"]
+    extra = ["grams"] if short else []
     # A block meets itself and every other: the lower of the two stands at the left.
     left = side(rest.withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1))), "a", "value", F.col("own").alias("i"), "j", F.col("c").alias("c_a"), F.col("before").alias("before_a"), *(F.col(x).alias(f"{x}_a") for x in extra))
     right = side(rest.withColumn("i", F.explode(F.sequence(F.lit(0), "own"))), "b", "value", "i", F.col("own").alias("j"), F.col("c").alias("c_b"), F.col("before").alias("before_b"), *(F.col(x).alias(f"{x}_b") for x in extra))

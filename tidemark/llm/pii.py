@@ -128,6 +128,8 @@ def _term_counts(docs: DataFrame) -> DataFrame:
                 seen: Counter = Counter()
                 for t in pdf["text"].iloc[at : at + 2000]:
                     seen.update(set(_TERM.findall((t or "").lower())))
+                if not seen:
+                    continue
                 yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
 
     return docs.mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))

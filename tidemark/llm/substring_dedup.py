@@ -14,7 +14,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,7 +136,8 @@ class Paragraphs:
         return out
 
     def rows(self, texts: list[bytes]) -> Iterator[tuple]:
-        """Arrays (text, place, words, s, e, key, n, bands, odd) of a bounded number of paragraphs at once; key has two columns."""
+        """Arrays (text, place, words, s, e, key, n, bands, odd, grams) of a bounded number of paragraphs at once; key has two columns,
+        grams are the n shingles of each in a row."""
         begin = np.cumsum([0, *(len(t) + 2 for t in texts)])
         data = np.frombuffer(b"\n\n".join(texts) + b"\n\n", np.uint8)
         h, starts, ends, first, last = self.cut(data)
@@ -171,7 +171,7 @@ class Paragraphs:
             bands = np.repeat(np.arange(1, self.bands + 1, dtype=np.uint64)[None], len(a), axis=0)
             for r in range(ROWS):
                 bands = mixed(bands * _BASES[0] + low[r : self.bands * ROWS : ROWS].T.astype(np.uint64) + np.uint64(r + 1))
-            yield who[part], place[part], long, s[part], e[part], np.stack(keys, axis=1), n, bands, odd
+            yield who[part], place[part], long, s[part], e[part], np.stack(keys, axis=1), n, bands, odd, (g[order][new] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _encoded(text: str) -> bytes:
@@ -179,22 +179,25 @@ def _encoded(text: str) -> bytes:
 
 
 def paragraphs(rows: DataFrame, words: int, bands: int) -> DataFrame:
-    """(id, rid, u, w, s, e, key, n, bands, odd) of rows (id, rid, text): the paragraphs, counted by u, of w words; key is a 128-bit
-    hash of their words in order. A task gives the bands of a key once, so that copies don't multiply what is shuffled."""
+    """(id, rid, u, w, s, e, key, n, bands, odd, grams) of rows (id, rid, text): the paragraphs, counted by u, of w words; key is a
+    128-bit hash of their words in order, grams the set of their shingles (32 bits each, as sets are small). A task gives
+    the bands and shingles of a key once, so that copies don't multiply what is shuffled."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def table(cutter: Paragraphs, ids: pa.Array, rids: pa.Array, part: tuple) -> pa.RecordBatch:
-        who, place, long, s, e, keys, n, values, odd = part
+        who, place, long, s, e, keys, n, values, odd, grams = part
         at, count = pa.array(who), len(s)
         offsets = lambda k: np.arange(0, (count + 1) * k, k, dtype=np.int32)
         lists = lambda x: pa.ListArray.from_arrays(offsets(x.shape[1]), np.ascontiguousarray(x).view(np.int64).ravel())
-        new = cutter.first_time(keys)  # an empty list of bands for the others
+        new = cutter.first_time(keys)  # empty lists of bands and shingles for the others
         ends = np.concatenate([[0], np.cumsum(new * values.shape[1])]).astype(np.int32)
         banded = pa.ListArray.from_arrays(ends, np.ascontiguousarray(values[new]).view(np.int64).ravel())
         named = pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(offsets(16)), pa.py_buffer(np.ascontiguousarray(keys))])
+        cuts = np.concatenate([[0], np.cumsum(np.where(new, n, 0))]).astype(np.int32)
+        sets = pa.ListArray.from_arrays(cuts, grams[np.repeat(new, n)])
         ints = [pa.array(x.astype(np.int32)) for x in (place, long, s, e)]
-        columns = [ids.take(at), rids.take(at), *ints, named, pa.array(n.astype(np.int32)), banded, lists(odd)]
-        return pa.RecordBatch.from_arrays(columns, ["id", "rid", "u", "w", "s", "e", "key", "n", "bands", "odd"])
+        columns = [ids.take(at), rids.take(at), *ints, named, pa.array(n.astype(np.int32)), banded, lists(odd), sets]
+        return pa.RecordBatch.from_arrays(columns, ["id", "rid", "u", "w", "s", "e", "key", "n", "bands", "odd", "grams"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Paragraphs(words, bands)
@@ -211,27 +214,7 @@ def paragraphs(rows: DataFrame, words: int, bands: int) -> DataFrame:
                             yield table(cutter, ids.slice(begun), rids.slice(begun), part)
                         texts, held, begun = [], 0, k + 1
 
-    return rows.mapInArrow(run, f"id {kind}, rid long, u int, w int, s int, e int, key binary, n int, bands array<long>, odd array<long>")
-
-
-def gram_sets(rows: DataFrame, places: DataFrame, words: int) -> DataFrame:
-    """(node, grams): the full shingle sets of the paragraphs at places (node, id, rid, s, e)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cutter = Paragraphs(words, 1)
-        with np.errstate(over="ignore"):
-            for pdf in batches:
-                for text, wanted in zip(pdf["text"], pdf["wanted"], strict=True):
-                    parts = [_encoded(text[w["s"] : w["e"]]) for w in wanted]
-                    starts, _, h = cutter.tokens(np.frombuffer(b"\n".join(parts), np.uint8))
-                    cuts = np.searchsorted(starts, np.cumsum([len(p) + 1 for p in parts])[:-1])
-                    sets = [np.unique(cutter.grams(x)).view(np.int64) for x in np.split(h, cuts)]
-                    yield pd.DataFrame({"node": [w["node"] for w in wanted], "grams": sets})
-
-    wanted = staged(places.groupBy(F.col("id").alias("i"), F.col("rid").alias("r")).agg(F.collect_list(F.struct("node", "s", "e")).alias("wanted")), "wanted")
-    # Lists of a text's own paragraphs are as long as the text at most; so few are sent along with a broadcast.
-    read = rows.join(small(wanted, 20_000), F.col("id").eqNullSafe(F.col("i")) & (F.col("rid") == F.col("r"))).select("text", "wanted")
-    return staged(read.mapInPandas(run, "node binary, grams array<long>"), "grams")
+    return rows.mapInArrow(run, f"id {kind}, rid long, u int, w int, s int, e int, key binary, n int, bands array<long>, odd array<long>, grams array<int>")
 
 
 def repeated_paragraphs(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = 0.99, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,21 +237,18 @@ def repeated_paragraphs(docs: DataFrame, words: int = 5, percent: int = 80, reca
     kept = []
 
     def signs_of(nodes: DataFrame) -> DataFrame:
-        """The first paragraph of each node, with its sketch; bands are equal in all that have them."""
+        """The first paragraph of each node, with its sketch; bands and shingles are equal in all that have them."""
         of = found.join(nodes.select(F.col("node").alias("key")), "key")
-        first = F.min(F.struct("id", "rid", "s", "e")).alias("x")
-        got = of.groupBy(F.col("key").alias("node")).agg(first, F.first("n").alias("n_shingles"), F.max("bands").alias("bands"), F.first("odd").alias("odd"))
-        kept.append(staged(got.select("node", "x.*", "n_shingles", "bands", "odd"), "first"))
+        what = F.max_by(F.struct("bands", "grams"), F.size("bands")).alias("y")
+        got = of.groupBy(F.col("key").alias("node")).agg(F.min(place).alias("first"), F.first("n").alias("n_shingles"), F.first("odd").alias("odd"), what)
+        kept.append(staged(got.select("node", "first", "n_shingles", "odd", "y.*"), "first"))
         return kept[0]
 
-    def sets(nodes: DataFrame) -> DataFrame:
-        return gram_sets(rows, kept[0].join(small(nodes), "node").select("node", "id", "rid", "s", "e"), words)
-
-    label = similar_components(found.where(F.size("bands") > 0).select(F.col("key").alias("node"), "bands"), signs_of, sets, percent, words=WORDS, samples=max(SAMPLES, bands * ROWS), short=True)
+    label = similar_components(found.where(F.size("bands") > 0).select(F.col("key").alias("node"), "bands"), signs_of, None, percent, words=WORDS, samples=max(SAMPLES, bands * ROWS))
     label = staged(label.select(F.col("node").alias("key"), "component"), "labels")
     swept(docs.sparkSession)
 
-    own = kept[0].join(label.select(F.col("key").alias("node")), "node", "left_semi").select(F.col("node").alias("key"), place.alias("first"), F.lit(1).cast("long").alias("m"))
+    own = kept[0].join(label.select(F.col("key").alias("node")), "node", "left_semi").select(F.col("node").alias("key"), "first", F.lit(1).cast("long").alias("m"))
     alone = own.join(again.select("key"), "key", "left_anti")
     classes = again.union(alone).join(label, "key", "left").withColumn("c", F.coalesce("component", "key"))
     classes = staged(classes.select("key", "first", "m", "c"), "classes")
