@@ -367,7 +367,7 @@ def rank_correlation(spark: SparkSession, sf: str) -> DataFrame:
     "window_pnl",
     f"""WITH {BARS}, t AS (SELECT series_id, session, close - open AS pnl FROM bars), x AS (SELECT *, coalesce(sum(pnl) OVER (PARTITION BY series_id, date_trunc('week', session) ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS week_pnl,
         coalesce(sum(pnl) OVER (PARTITION BY series_id, date_trunc('month', session) ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS month_pnl FROM t)
-    SELECT series_id, session, round(pnl, 4) AS pnl, 0.0 AS day_pnl, round(week_pnl, 4) AS week_pnl, round(month_pnl, 4) AS month_pnl, week_pnl <= -100000 AS week_stop, month_pnl <= -200000 AS month_stop FROM x""",
+    SELECT series_id, session, round(pnl, 4) AS pnl, CAST(0 AS DOUBLE) AS day_pnl, round(week_pnl, 4) AS week_pnl, round(month_pnl, 4) AS month_pnl, week_pnl <= -100000 AS week_stop, month_pnl <= -200000 AS month_stop FROM x""",
 )
 def window_pnl(spark: SparkSession, sf: str) -> DataFrame:
     t = adapters.order_bars(spark, sf).select("series_id", "session", (F.col("close") - F.col("open")).alias("pnl"))

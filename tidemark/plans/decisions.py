@@ -81,7 +81,7 @@ def random_control(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "close_to_close",
-    f"""WITH {BARS}, x AS (SELECT series_id, session, 100 * (close / lag(close) OVER w - 1) AS g FROM bars {W}) SELECT series_id, session, CAST(g IS NOT NULL AS INTEGER) AS nights, round(g, 6) AS gross_pct, CASE WHEN g IS NOT NULL THEN 0.0182 END AS financing_pct, round(g - 0.0182, 6) AS net_pct FROM x""",
+    f"""WITH {BARS}, x AS (SELECT series_id, session, 100 * (close / lag(close) OVER w - 1) AS g FROM bars {W}) SELECT series_id, session, CAST(g IS NOT NULL AS INTEGER) AS nights, round(g, 6) AS gross_pct, CASE WHEN g IS NOT NULL THEN CAST(0.0182 AS DOUBLE) END AS financing_pct, round(g - 0.0182, 6) AS net_pct FROM x""",
 )
 def close_to_close(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(costs.close_to_close(adapters.order_bars(spark, sf)), 6, "gross_pct", "net_pct")

@@ -275,7 +275,7 @@ _DAYS = """d AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1995-01-01', TIME
 
 @query(
     "market_calendar",
-    f"""WITH {_DAYS} SELECT day, reason, is_session, is_half_day, CASE WHEN NOT is_session THEN 0.0 WHEN is_half_day THEN 3.5 ELSE 6.5 END AS hours, last_value(CASE WHEN is_session THEN day END IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_session,
+    f"""WITH {_DAYS} SELECT day, reason, is_session, is_half_day, CAST(CASE WHEN NOT is_session THEN 0.0 WHEN is_half_day THEN 3.5 ELSE 6.5 END AS DOUBLE) AS hours, last_value(CASE WHEN is_session THEN day END IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_session,
         first_value(CASE WHEN is_session THEN day END IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_session, is_session AND coalesce(day = max(CASE WHEN is_session AND day <= fri1 + 14 THEN day END) OVER (PARTITION BY m1), false) AS is_opex FROM s""",
 )
 def market_calendar(spark: SparkSession, sf: str) -> DataFrame:
