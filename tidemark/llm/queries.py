@@ -155,3 +155,45 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.near_dedup import near_components
 
     return near_components(tables(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85)
+
+
+@query("op11_attention_quality")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import quality
+
+    return quality(tables(spark, sf_dir, "documents").select("doc_id", "text"), tables(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+@query("op12_parity_band_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.spelling_variants import spelling_variants
+
+    return spelling_variants(tables(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(
+    "op13_filter_interaction_audit",
+    r"""
+    WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    least AS (SELECT x, min(doc_id) AS lo FROM texts GROUP BY x),
+    marks AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS q, bool_or(coalesce(toxic = 1, false)) AS t FROM labels GROUP BY doc_id),
+    masked AS (SELECT part, coalesce(q, false) AS q, coalesce(t, false) AS t,
+        (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * (length(x) - length(regexp_replace(x, '[A-Z]', '', 'g'))) > 10 * length(x))::INT
+        + 8 * regexp_matches(x, '[#$%&*|]')::INT + 16 * coalesce(doc_id > lo, false)::INT AS mask
+        FROM texts JOIN least USING (x) LEFT JOIN marks USING (doc_id)),
+    cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (q) AS good, count(*) FILTER (t) AS toxic FROM masked GROUP BY part, mask),
+    f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 4, 8, 16]) AS b),
+    orders AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM f a, f b, f c, f d, f e WHERE a.b + b.b + c.b + d.b + e.b = 31 AND a.b | b.b | c.b | d.b | e.b = 31),
+    steps AS (SELECT filter_order, CAST(s AS INTEGER) AS step, bits[s] AS own, coalesce(list_sum(bits[1 : s - 1]), 0)::INT AS before FROM (SELECT *, unnest(range(1, 6)) AS s FROM orders)),
+    done AS (SELECT part, filter_order, step, own,
+        coalesce(sum(n) FILTER (mask & (before | own) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & before = 0 AND mask & own <> 0), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (mask & before <> 0 AND mask & own <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+        coalesce(sum(good) FILTER (mask & before = 0 AND mask & own <> 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & own <> 0), 0)::BIGINT AS toxic_lost
+        FROM cells, steps GROUP BY part, filter_order, step, own)
+    SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM done
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.filter_audit import filter_audit
+
+    return filter_audit(tables(spark, sf_dir, "documents").select("doc_id", "text", "lang"), tables(spark, sf_dir, "labels"))
