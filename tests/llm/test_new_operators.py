@@ -21,7 +21,7 @@ def docs(spark, rows):
 
 
 def edge_rows():
-    base = [None, "", " \n ", "x", filler(3, 120), filler(3, 120), "ABC DEF " * 60, "a|b", filler(4, 99) + " #", "é" * 30, filler(5, 20_000), "over ovr oveer Over OVER over ovr ovr"]
+    base = [None, "", " \n ", "x", filler(3, 120), filler(3, 120), "ABC DEF " * 60, "a|b", filler(4, 99) + " #", "é" * 30, (filler(5, 200) + " ") * 100, "over ovr oveer Over OVER over ovr ovr"]
     out = [(k, t, ("en", "de", None)[k % 3]) for k, t in enumerate(base)]
     return out + [out[4], out[6], (20, base[6], "en"), (None, base[4], "en"), (None, base[4], None), (None, None, None), (4, base[9], "de"), (7, base[4], "fr")]
 
