@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 IDENTITY = ("source", "series_id", "as_of")
+#: Folders of a batch, a source and year each, that are broadcast at most.
+FOLDERS = 50_000
 MANDATORY = {"source", "series_id", "as_of", "fetched_at", "published_at", "version"}
 
 
@@ -119,6 +121,13 @@ class Store:
         df = self.read(name)
         return known_at(df if series_id is None else df.where(F.col("series_id") == series_id), at)
 
+    def touched(self, name: str, batch: DataFrame) -> DataFrame:
+        """The revisions in the folders (source and year) that a batch has rows for; joined on the partition columns, these prune the scan."""
+        folders = batch.select(F.col("source").alias("_source"), F.year("as_of").alias("_year")).distinct()
+        if folders.limit(FOLDERS + 1).count() <= FOLDERS:
+            folders = F.broadcast(folders)
+        return self._partitions(name).join(folders, ["_source", "_year"]).select(*self.schemas[name].names)
+
     def append(self, name: str, batch: DataFrame, revise: bool = False) -> dict[str, int]:
         """Write what is new; changed payloads are refused unless `revise`, then written as next versions."""
         schema = self.schemas[name]
@@ -129,9 +138,7 @@ class Store:
             raise ValueError(f"records break the rules: {bad}")
         if not batch.groupBy(*IDENTITY).count().where("count > 1").isEmpty():
             raise ValueError("an identity repeats in the batch")
-        # The folders of the batch are few; joined on the partition columns they prune the scan of what is stored.
-        folders = batch.select(F.col("source").alias("_source"), F.year("as_of").alias("_year")).distinct()
-        stored = self._partitions(name).join(F.broadcast(folders), ["_source", "_year"]).select(*schema.names)
+        stored = self.touched(name, batch)
         staged = f"{self.root}/_staged/{uuid.uuid4().hex}"
         classified(batch, stored, payload, noisy=self.noisy.get(name, ())).write.parquet(staged)
         judged = self.spark.read.parquet(staged)
