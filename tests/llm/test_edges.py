@@ -16,6 +16,50 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id
 SF = "/root/testdata/sf0.001"
 
 
+#: Names that operators use inside, as columns of the caller.
+INSIDE = "_id _rid _at _runs _h _l _kept _k _n _p _i _r _b _t _d _m _x _key _size _whole _from _to _e _s key size shard c s e j i m n u blocks band bands odd grams member first head kept again run rest plan number part start begin end quota target taken component_id removed n_removed n_lines copy taken_words lang_pred score rejected terms base added found".split()
+
+
+def crowded(df):
+    """df with a column of every such name."""
+    return df.select("*", *(F.lit(f"own {c}").alias(c) for c in INSIDE))
+
+
+CARRY = {
+    "lines": (lambda d, b: line_dedup.line_dedup(d), {"n_lines", "removed", "n_removed"}),
+    "paragraphs": (lambda d, b: substring_dedup.substring_dedup(d), {"removed"}),
+    "leaks": (lambda d, b: decontamination.decontaminated(d, b), set()),
+    "languages": (lambda d, b: language_id.identified(d, language_id.learn(d)), {"lang_pred", "score", "rejected"}),
+    "mixture": (lambda d, b: mixing.mixture(d), {"copy", "taken_words"}),
+    "sanitised": (lambda d, b: pii.sanitised(d), set()),
+}
+
+
+@pytest.mark.parametrize("name", sorted(CARRY))
+def test_any_column_of_the_caller_comes_back(spark, name):
+    """Columns named as those inside an operator come back as they were, but for those that it adds."""
+    run, adds = CARRY[name]
+    df, bench = spark.createDataFrame(rows(), SCHEMA), spark.createDataFrame(BENCH, "item_id long, text string")
+    plain, got = run(df, bench), run(crowded(df), bench)
+    assert set(got.columns) == set(plain.columns) | set(INSIDE)
+    assert [c for c in got.columns if c not in adds] == [c for c in crowded(df).columns if c not in adds]
+    own = [c for c in INSIDE if c not in adds]
+    assert got.where(" or ".join(f"`{c}` is null or `{c}` <> 'own {c}'" for c in own)).count() == 0
+    shown = lambda x: sorted(map(repr, x.select(*sorted(plain.columns)).collect()))
+    assert shown(got) == shown(plain) and got.count() > 0
+
+
+@pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
+def test_stages_carry_any_column(spark, tmp_path, k):
+    spark.createDataFrame(BENCH, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = crowded(spark.createDataFrame(rows(), SCHEMA))
+    got = corpus_pipeline.STAGES[k][1](spark, df, str(tmp_path))
+    last = k == len(corpus_pipeline.STAGES) - 1
+    own = [c for c in INSIDE if not (last and c in ("copy", "taken_words"))]
+    assert set(got.columns) == set(df.columns) and (last or got.columns == df.columns)
+    assert got.where(" or ".join(f"`{c}` is null or `{c}` <> 'own {c}'" for c in own)).count() == 0 < got.count()
+
+
 def rows():
     long = filler(1, 40_000) + "\n" + filler(2, 3000).replace(".", ".\n")
     texts = [None, "", " \n\n ", "x", long, long, filler(3, 60), filler(3, 60), "\U0001f600 é ß", "a\nb\nc\nd\na\nb\nc\nd", "token=abcdef12 joe@x.org"]

@@ -89,6 +89,26 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+#: The column that holds the caller's other columns while an operator works.
+REST = "__tidemark_rest"
+
+
+def carrying(docs: DataFrame, *own: str):
+    """docs with an operator's own columns and all others as one struct, and the way back.
+
+    Whatever the caller's columns are called, none meets an operator's internal names. back(out, *added) gives the columns of
+    docs in their order, own ones from out, and then added ones, which replace columns of the same name.
+    """
+    own = tuple(dict.fromkeys(own))
+    rest = [c for c in docs.columns if c not in own]
+    narrow = docs.select(*(F.col(f"`{c}`") for c in own), *([F.struct(*(F.col(f"`{c}`") for c in rest)).alias(REST)] if rest else []))
+
+    def back(out: DataFrame, *added: str) -> DataFrame:
+        return out.select(*((F.col(f"`{c}`") if c in own else F.col(REST)[c].alias(c)) for c in docs.columns if c not in added), *added)
+
+    return narrow, back
+
+
 def join_hot(rows: DataFrame, counted: DataFrame, keys: list[str], count_col: str, share: float = 1e-5, least: int = 1000) -> DataFrame:
     """Inner join of rows with counted, which has a row for each key and in count_col how many of rows have it.
 

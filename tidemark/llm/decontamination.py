@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small, staged
+from tidemark.llm.common import carrying, small, staged
 
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
@@ -83,6 +83,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold: floa
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """docs without the rows that hold a benchmark item; columns as they are."""
+    docs, back = carrying(docs, id_col, text_col)
     found = leaks(docs, benchmark, id_col=id_col, text_col=text_col, **kw).select(F.col("id").alias("_id"), F.col("rid").alias("_rid")).distinct()
     found = small(staged(found, "leaks"))
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_rid")), "left_anti")
+    return back(docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_rid")), "left_anti"))

@@ -30,8 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of an edge list (a, b): component is the least node reachable.
 
     Nulls and loops are ignored; repeated edges count once; an empty list gives no rows.
-    Rows per step are bounded by the number of edges, so a hub of a million neighbours
-    costs a million rows spread over tasks and is never gathered in one.
+    Rows per step are bounded by the number of edges and stream through aggregations and joins, so no group is held in
+    memory; the rows of a hub are one key of a join, which the session's skew handling splits.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = staged(edges, "edges")

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import carrying, staged
 
 DIM = 4096
 #: Labelled texts sampled for the centroids of a language (in expectation; by a hash of the text), and centroids.
@@ -235,8 +235,10 @@ def identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") ->
         parts = [shared.value.predict([t if isinstance(t, str) else None for t in texts.iloc[at : at + 128]]) for at in range(0, len(texts), 128)]
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": [], "score": [], "rejected": []})
 
+    docs, back = carrying(docs, text_col)
     out = docs.withColumn("_p", predict(F.col(text_col)))
-    return out.withColumns({c: F.col(f"_p.{c}") for c in ("lang_pred", "score", "rejected")}).drop("_p")
+    named = ("lang_pred", "score", "rejected")
+    return back(out.withColumns({c: F.col(f"_p.{c}") for c in named}), *named)
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import join_hot, staged
+from tidemark.llm.common import carrying, join_hot, staged
 
 
 def lines_of(text: Column) -> Column:
@@ -40,17 +40,11 @@ def later_windows(found: DataFrame) -> DataFrame:
 
 
 def merged(at: Column, size: int) -> Column:
-    """Sorted window positions as the runs array<struct<s, e>> of lines they cover, ends exclusive."""
-    none = F.array().cast("array<struct<s:int,e:int>>")
-    run = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
-    start = F.struct(none.alias("o"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))
-
-    def step(acc: Column, p: Column) -> Column:
-        joins = p <= acc["e"]
-        closed = F.when(joins | (acc["s"] < 0), acc["o"]).otherwise(F.concat(acc["o"], F.array(run(acc["s"], acc["e"]))))
-        return F.struct(closed.alias("o"), F.when(joins, acc["s"]).otherwise(p).cast("int").alias("s"), (p + size).cast("int").alias("e"))
-
-    return F.aggregate(at, start, step, lambda acc: F.when(acc["s"] < 0, acc["o"]).otherwise(F.concat(acc["o"], F.array(run(acc["s"], acc["e"])))))
+    """Sorted window positions as the runs array<struct<s, e>> of lines they cover, ends exclusive, in time linear in their number."""
+    begins = F.filter(at, lambda p, k: (k == 0) | (p > F.get(at, k - 1) + size))
+    ends = F.filter(at, lambda p, k: (k == F.size(at) - 1) | (F.get(at, k + 1) > p + size))
+    zipped = F.arrays_zip(begins.alias("s"), ends.alias("e"))
+    return F.transform(zipped, lambda r: F.struct(r["s"].cast("int").alias("s"), (r["e"] + size).cast("int").alias("e")))
 
 
 def line_dedup(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,6 +54,7 @@ def line_dedup(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col:
     don't count. Rows that repeat (id and text) are edited alike; null ids come first in the order. A text whose lines
     all go becomes empty. The columns n_lines, removed and n_removed of docs, if any, are replaced. No rows give none.
     """
+    docs, back = carrying(docs, id_col, text_col)
     found = staged(windows(docs, size, id_col, text_col), "windows")
     late = later_windows(found).groupBy(F.col("id").alias("_id"), F.col("rid").alias("_rid")).agg(F.array_sort(F.collect_set("at")).alias("_at"))
     runs = late.select("_id", "_rid", merged(F.col("_at"), size).alias("_runs"))
@@ -72,4 +67,4 @@ def line_dedup(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col:
     size_of = F.aggregate("removed", F.lit(0), lambda n, r: n + r["e"] - r["s"])
     out = out.withColumns({"n_lines": F.size("_l"), "n_removed": size_of, "_kept": kept})
     text = F.when(F.size("removed") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text_col))
-    return out.withColumn(text_col, text).select(*[c for c in docs.columns if c not in ("n_lines", "removed", "n_removed")], "n_lines", "removed", "n_removed")
+    return back(out.withColumn(text_col, text), "n_lines", "removed", "n_removed")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import GAP, n_words, small, staged
+from tidemark.llm.common import GAP, REST, carrying, n_words, small, staged
 
 #: Words of a block, and of a shard; a source of more than MAX_SHARDS shards gets larger ones.
 BLOCK, SHARD, MAX_SHARDS = 16, 250_000, 65_536
@@ -156,9 +156,10 @@ def mixture(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: s
     """
     plan = staged(mixed_documents(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **kw).where("taken > 0"), "plan")
     plan = plan.select(F.col("key").alias("_key"), F.col("size").alias("_size"), F.col("whole").alias("_whole"), F.col("part_from").alias("_from"), F.col("part_to").alias("_to"))
-    columns = [c for c in docs.columns if c not in ("copy", "taken_words")]
-    hashable = [f.name for f in docs.schema.fields if f.name in columns and "map<" not in f.dataType.simpleString()]
-    rows = docs.select(*columns).withColumn("_k", _key(seed, id_col, text_col, source_col))
+    hashable = [f.name for f in docs.schema.fields if f.name not in ("copy", "taken_words") and "map<" not in f.dataType.simpleString()]
+    docs, back = carrying(docs, id_col, text_col, source_col)
+    hashable = [F.col(c) if c in docs.columns else F.col(REST)[c] for c in hashable]
+    rows = docs.withColumn("_k", _key(seed, id_col, text_col, source_col))
     again = staged(rows.groupBy("_k").count().where("count > 1").select("_k"), "again")
     if again.isEmpty():
         rows = rows.join(plan, F.col("_k") == F.col("_key"))
@@ -174,4 +175,5 @@ def mixture(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: s
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
     cut = (F.col("copy") > F.col("_whole")) & (F.col("_to") - F.col("_from") < F.col("_size"))
     words = F.when(F.col("copy") > F.col("_whole"), F.col("_to") - F.col("_from")).otherwise(F.col("_size"))
-    return rows.withColumn(text_col, F.when(cut, word_range(F.col(text_col), F.col("_from"), F.col("_to"))).otherwise(F.col(text_col))).select(*columns, "copy", words.alias("taken_words"))
+    rows = rows.withColumns({text_col: F.when(cut, word_range(F.col(text_col), F.col("_from"), F.col("_to"))).otherwise(F.col(text_col)), "taken_words": words})
+    return back(rows, "copy", "taken_words")

@@ -5,9 +5,10 @@ values make candidates, and an odd sketch (a bitmap of parities), whose XOR popu
 similarity of a candidate pair closely enough to drop most false ones. What is left is confirmed on full sets.
 
 Groups never become all pairs. Texts of equal sets are one node. Within a bucket of equal bands every node first meets
-one pivot, and what those links join is one component. In buckets that still hold several components, nodes of
-different components are compared inside the join, in blocks: only pairs of likely sizes and sketches, each at the first
-bucket it shares, leave the join. No bucket is capped, and no pair that shares a bucket is left out.
+one pivot, and what those links join is one component. In buckets that still hold several components, the nodes outside
+the largest meet all others inside the join, in blocks: only pairs of likely sizes and sketches, each at the first bucket
+it shares, leave the join. A bucket of m nodes of which k stand outside costs k * m comparisons, and m alone where k is
+bounded. No bucket is capped, and no pair that shares a bucket is left out.
 """
 
 from __future__ import annotations
@@ -182,7 +183,7 @@ def similar_components(banded: DataFrame, signs_of, sets, percent: int, words: i
 
     banded: (node, bands), read twice; a node may repeat. signs_of: nodes (node) -> (node, n_shingles, bands, odd), a row a
     node, odd of `words` longs. sets: nodes (node) -> (node, grams), or None where signs_of gives grams itself. Where a bucket holds nodes of several components,
-    those of different ones are compared within it, in a few machine operations a pair. Without `sets`, for sets of some tens
+    those outside the largest are compared with all others, in a few machine operations a pair. Without `sets`, for sets of some tens
     of shingles, the sets themselves go into that comparison, and links leave it; else likely pairs do.
     """
     most = most_bits(percent / 100, samples, words * 64, errors)
@@ -214,10 +215,13 @@ def similar_components(banded: DataFrame, signs_of, sets, percent: int, words: i
 
     at = buckets.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     at = staged(at, "at")
-    open_ = at.groupBy("value").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("value", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    # In a bucket, what stands outside its largest component meets all of it; the largest is one component already.
+    per = at.groupBy("value", "c").agg(F.count("*").alias("m")).groupBy("value").agg(F.sum("m").alias("m"), F.max(F.struct("m", "c")).alias("top"))
+    open_ = per.where(F.col("m") > F.col("top.m")).select("value", F.col("top.c").alias("main"), F.ceil(F.col("m") / block).cast("int").alias("blocks"), F.ceil((F.col("m") - F.col("top.m")) / block).cast("int").alias("odd_blocks"))
     rest = at.join(small(staged(open_, "open")), "value").join(signs, "node")
-    rest = rest.withColumns({"own": F.pmod(F.xxhash64("node"), "blocks").cast("int"), "before": F.slice("bands", F.lit(1), F.col("band"))})
-    rest = staged(rest.drop("bands"), "rest")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    rest = rest.withColumns({"own": own("blocks"), "odd_own": own("odd_blocks"), "stranger": F.col("c") != F.col("main"), "before": F.slice("bands", F.lit(1), F.col("band"))})
+    rest = staged(rest.drop("bands", "main"), "rest")
     for x in (buckets, at):
         dropped(x)
 
@@ -228,13 +232,14 @@ def similar_components(banded: DataFrame, signs_of, sets, percent: int, words: i
         return grams.join(small(nodes), "node", "left_semi").unionByName(sets(missing))
 
     extra = ["grams"] if short else []
-    # A block meets itself and every other: the lower of the two stands at the left.
-    left = side(rest.withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1))), "a", "value", F.col("own").alias("i"), "j", F.col("c").alias("c_a"), F.col("before").alias("before_a"), *(F.col(x).alias(f"{x}_a") for x in extra))
-    right = side(rest.withColumn("i", F.explode(F.sequence(F.lit(0), "own"))), "b", "value", "i", F.col("own").alias("j"), F.col("c").alias("c_b"), F.col("before").alias("before_b"), *(F.col(x).alias(f"{x}_b") for x in extra))
+    # Every block of strangers meets every block of the bucket.
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = side(rest.where("stranger").withColumn("j", upto("blocks")), "a", "value", F.col("odd_own").alias("i"), "j", F.col("c").alias("c_a"), F.col("before").alias("before_a"), *(F.col(x).alias(f"{x}_a") for x in extra))
+    right = side(rest.withColumn("i", upto("odd_blocks")), "b", "value", "i", F.col("own").alias("j"), F.col("c").alias("c_b"), "stranger", F.col("before").alias("before_b"), *(F.col(x).alias(f"{x}_b") for x in extra))
     first = ~F.arrays_overlap("before_a", "before_b")  # a pair counts at the first band it shares
     l, r = left.alias("l"), right.alias("r")  # noqa: E741
     same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("value", "i", "j")]
-    once = ((F.col("l.i") < F.col("l.j")) | (F.col("a") < F.col("b"))) & (F.col("c_a") != F.col("c_b"))
+    once = (~F.col("stranger") | (F.col("a") < F.col("b"))) & (F.col("c_a") != F.col("c_b"))
     likely = once & alike(F.col("n_a"), F.col("n_b"), odd("a"), odd("b"), percent, most) & first
     if short:
         both = F.size(F.array_intersect("grams_a", "grams_b"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import join_hot, small, staged
+from tidemark.llm.common import carrying, join_hot, small, staged
 
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR = 10  # words on either side, within the line
@@ -188,6 +188,7 @@ def replaced(text: str | None, base: list, terms: list) -> str | None:
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """docs with the text sanitised; all other columns as they are."""
+    docs, back = carrying(docs, id_col, text_col)
     found = personal_data(docs, id_col, text_col, **kw).where((F.size("base") > 0) | (F.size("terms") > 0)).dropDuplicates([id_col, "rid"])
     found = found.select(F.col(id_col).alias("_i"), F.col("rid").alias("_r"), F.col("base").alias("_b"), F.col("terms").alias("_t"))
 
@@ -201,4 +202,4 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
     keyed = docs.withColumn("_d", digest(text_col))
     out = keyed.join(found, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_d") == F.col("_r")), "left")
-    return out.withColumn(text_col, edit(text_col, "_b", "_t")).select(*docs.columns)
+    return back(out.withColumn(text_col, edit(text_col, "_b", "_t")))

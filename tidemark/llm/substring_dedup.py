@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import dropped, join_hot, small, staged, swept
+from tidemark.llm.common import carrying, dropped, join_hot, small, staged, swept
 from tidemark.llm.near_dedup import mixed, similar_components
 
 #: Words of a paragraph within a block at least, and of a repeated passage.
@@ -279,6 +279,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null texts stay null; rows that repeat are edited alike; a column removed of docs, if any, is replaced.
     """
+    docs, back = carrying(docs, id_col, text_col)
     gone = passages(repeated_paragraphs(docs, id_col=id_col, text_col=text_col, **kw))
     gone = gone.groupBy(F.col("id").alias("_id"), F.col("rid").alias("_rid")).agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("_runs"))
     out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_rid")), "left")
@@ -286,4 +287,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = F.concat(F.array(F.lit(0)), F.transform("removed", lambda r: r["e"]))
     starts = F.concat(F.transform("removed", lambda r: r["s"]), F.array(F.length(text_col)))
     kept = F.array_join(F.transform(F.arrays_zip(ends.alias("e"), starts.alias("s")), lambda g: F.substring(F.col(text_col), g["e"] + 1, g["s"] - g["e"])), "")
-    return out.withColumn(text_col, F.when(F.size("removed") > 0, kept).otherwise(F.col(text_col))).select(*[c for c in docs.columns if c != "removed"], "removed")
+    return back(out.withColumn(text_col, F.when(F.size("removed") > 0, kept).otherwise(F.col(text_col))), "removed")
