@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import dropped_since, shared_dir, staged, staged_so_far
+from tidemark.llm.common import carrying, dropped_since, shared_dir, staged, staged_so_far
 from tidemark.llm.decontamination import decontaminated
 from tidemark.llm.language_id import identified, learn
 from tidemark.llm.line_dedup import line_dedup
@@ -22,14 +22,16 @@ from tidemark.llm.near_dedup import near_components
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is rejected; the rest stay as they are."""
-    return identified(docs.select(*docs.columns), learn(docs)).where("not rejected").select(*docs.columns)
+    narrow, back = carrying(docs, "doc_id", "text")
+    return back(identified(narrow, learn(docs)).where("not rejected"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts later occurrences of three-line windows; texts that are cut to nothing go. n_chars follows the text."""
-    out = line_dedup(docs).where("not (n_removed > 0 and length(trim(text)) = 0)")
+    narrow, back = carrying(docs, "doc_id", "text", "n_chars")
+    out = line_dedup(narrow).where("not (n_removed > 0 and length(trim(text)) = 0)")
     size = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", size).select(*docs.columns)
+    return back(out.withColumn("n_chars", size))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
