@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import order_statistics, text
-from tidemark.operators import calendar, engine, features, gate, journal, matrices, metrics, models, news, overfitting, splits
+from tidemark.operators import calendar, engine, features, garch, gate, journal, matrices, metrics, models, news, overfitting, splits
 from tidemark.sources import formats
 from tidemark.sources.store import Store
 
@@ -62,11 +62,11 @@ def test_garch_follows_the_variance_it_was_made_with():
         made.append((r.normal() * math.sqrt(v), v))
         v = 2e-6 + 0.1 * made[-1][0] ** 2 + 0.88 * v
     returns, truth = (np.array(c) for c in zip(*made))
-    got = matrices.garch_variance(returns, first=700, refit=200)
+    got = garch.one_step(returns, garch.fold_bounds(len(returns), first=700, refit=200))
     assert np.isnan(got[:700]).all() and np.corrcoef(np.log(got[700:]), np.log(truth[700:]))[0, 1] > 0.9
     changed = returns.copy()
     changed[1200:] *= 3
-    assert np.array_equal(matrices.garch_variance(changed, first=700, refit=200)[700:1200], got[700:1200])  # nothing later is seen
+    assert np.array_equal(garch.one_step(changed, garch.fold_bounds(len(changed), first=700, refit=200))[700:1200], got[700:1200])  # nothing later is seen
 
 
 def test_nothing_before_a_changed_session_moves(spark):

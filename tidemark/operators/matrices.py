@@ -8,14 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import lag, log_return, positive, ratio
 from tidemark.functions.order_statistics import scored
-from tidemark.operators import features, macro, metrics
+from tidemark.operators import features, garch, macro, metrics
 from tidemark.operators.asof import as_of, on_every, rolling_link
 
 ANCHOR, SECTOR = "SPX", "SECTOR:"
@@ -111,58 +109,11 @@ def reversion(bars: DataFrame, anchor: str = ANCHOR, least: int = 250) -> DataFr
     return own.join(got, "session", "left")
 
 
-def garch_variance(returns: np.ndarray, first: int = 500, refit: int = 21) -> np.ndarray:
-    """Variance forecasts of GARCH(1,1) with zero mean: parameters refit every `refit` rows on the rows before, from `first` on.
-
-    Fit by normal likelihood over a coarse-to-fine search with the long-run variance held at the sample's; a row's
-    forecast uses returns before it only.
-    """
-    out = np.full(len(returns), np.nan)
-    r2 = np.square(np.where(np.isfinite(returns), returns, 0.0))
-
-    def path(x: np.ndarray, v: float, alpha: np.ndarray, beta: np.ndarray) -> np.ndarray:
-        """Variances of all parameter pairs at once, one row more than x."""
-        s = np.empty((len(x) + 1, len(alpha)))
-        s[0] = v
-        omega = v * (1 - alpha - beta)
-        for t in range(len(x)):
-            s[t + 1] = omega + alpha * x[t] + beta * s[t]
-        return s
-
-    for at in range(first, len(returns), refit):
-        x = r2[:at]
-        v = x.mean()
-        if not v > 0:
-            continue
-        a, p, step_a, step_p = 0.1, 0.9, 0.08, 0.09
-        for _ in range(6):
-            alpha, persistence = (g.ravel() for g in np.meshgrid(np.clip(a + step_a * np.linspace(-1, 1, 9), 1e-4, 0.6), np.clip(p + step_p * np.linspace(-1, 1, 9), 0.01, 0.999)))
-            alpha = np.minimum(alpha, persistence)
-            s = np.maximum(path(x, v, alpha, persistence - alpha)[:-1], 1e-300)
-            best = np.argmin((np.log(s) + x[:, None] / s).sum(axis=0))
-            a, p, step_a, step_p = alpha[best], persistence[best], step_a / 3, step_p / 3
-        stop = min(at + refit, len(returns))
-        s = path(r2[:stop], v, np.array([a]), np.array([p - a]))[:, 0]
-        out[at:stop] = s[at:stop]
-    return out
-
-
-def garch(bars: DataFrame, first: int = 500, refit: int = 21) -> DataFrame:
-    """(series_id, session, garch_forecast): the variance of log returns foreseen for a session from those before it."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("session")
-        return pd.DataFrame({"series_id": pdf["series_id"], "session": pdf["session"], "garch_forecast": garch_variance(pdf["r"].to_numpy(float), first, refit)})
-
-    got = bars.select("series_id", "session", log_return(F.col("close")).alias("r")).groupBy("series_id").applyInPandas(run, "series_id string, session date, garch_forecast double")
-    return got.withColumn("garch_forecast", F.when(~F.isnan("garch_forecast"), F.col("garch_forecast")))
-
-
 def regime(bars: DataFrame, anchor: str = ANCHOR, least: int = 250) -> DataFrame:
     """(session and the seven regime columns)."""
     own = anchored(bars, anchor)
     df = features.volatility(features.regime(own)).withColumn("rv_1", lag("parkinson_rv"))
-    df = df.join(garch(own), ["series_id", "session"], "left")
+    df = df.join(garch.forecasts(own), ["series_id", "session"], "left")
     df = scored(df, [("percentile", "rv_1", "rv_percentile", least), ("robust", "garch_forecast", "garch_forecast_z", least)])
     return df.select("session", "rv_percentile", "garch_forecast", "garch_forecast_z", "efficiency_ratio_20", "day_of_week", "sessions_to_opex", "is_es_roll_session")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import ratio
+from tidemark.operators import resampling
 
 
 def performance(returns: DataFrame, by: str = "series_id", r: str = "net", year: int = 252) -> DataFrame:
@@ -93,17 +94,8 @@ def rank_correlation(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
 
 
 def bootstrap(returns: DataFrame, by: str = "series_id", r: str = "net", draws: int = 10_000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """(series, lo, hi): percentile interval of the mean from seeded draws, 512 at a time; one task a series."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(["session"])[r].to_numpy(float)
-        rng, means = np.random.RandomState(seed), []
-        for at in range(0, draws, 512):
-            means.append(x[rng.randint(0, len(x), size=(min(512, draws - at), len(x)))].mean(axis=1))
-        lo, hi = np.quantile(np.concatenate(means), [(1 - level) / 2, (1 + level) / 2])
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "lo": [lo], "hi": [hi]})
-
-    return returns.where(F.col(r).isNotNull()).select(by, "session", r).groupBy(by).applyInPandas(run, f"{by} string, lo double, hi double")
+    """(series, lo, hi): percentile interval of the mean from seeded draws."""
+    return resampling.interval(returns, "mean", (by,), r, draws=draws, seed=seed, level=level).select(by, "lo", "hi")
 
 
 def har_forecasts(features: DataFrame, least: int = 22) -> DataFrame:

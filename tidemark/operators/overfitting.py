@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import resampling
+
 GAMMA = 0.5772156649015329
 #: Most block choices that are all taken; more are refused.
 MOST_CHOICES = 20_000
@@ -127,27 +129,6 @@ def redundant_feature(matrix: DataFrame, candidate: str, control: list[str]) ->
     return got.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("r"), F.lit(k).alias("k")) for k, c in enumerate(control)))).alias("x")).groupBy().agg(F.max_by("x", F.struct(F.abs("x.r"), -F.col("x.k"))).alias("x")).select("x.feature", "x.r")
 
 
-def bootstrap_draws(x: np.ndarray, statistic: str, draws: int, seed: int, at_once: int = 512) -> np.ndarray:
-    """The statistic (mean, sharpe, sortino) of seeded resamples, in the order of one stream; 0 where a resample is constant."""
-    rng, out = np.random.RandomState(seed), []
-    for at in range(0, draws, at_once):
-        s = x[rng.randint(0, len(x), size=(min(at_once, draws - at), len(x)))]
-        mean = s.mean(axis=1)
-        if statistic == "mean":
-            out.append(mean)
-            continue
-        spread = s.std(axis=1, ddof=1) if statistic == "sharpe" else np.sqrt(np.square(np.minimum(s, 0)).mean(axis=1))
-        flat = (s.max(axis=1) == s.min(axis=1)) | (spread == 0)
-        out.append(np.where(flat, 0.0, mean / np.where(flat, 1.0, spread) * math.sqrt(252)))
-    return np.concatenate(out)
-
-
 def intervals(returns: DataFrame, statistic: str, by: str = "series_id", r: str = "net", order: str = "session", draws: int = 10_000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """(series, lo, hi): percentile interval of a statistic; a series is one task, as its resamples are one stream."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[r].to_numpy(float)
-        lo, hi = np.quantile(bootstrap_draws(x, statistic, draws, seed), [(1 - level) / 2, (1 + level) / 2])
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "lo": [lo], "hi": [hi]})
-
-    return returns.where(F.col(r).isNotNull()).select(by, order, r).groupBy(by).applyInPandas(run, f"{by} string, lo double, hi double")
+    """(series, lo, hi): percentile interval of a statistic (mean, sharpe, sortino) from seeded draws."""
+    return resampling.interval(returns, statistic, (by,), r, order, draws, seed, level).select(by, "lo", "hi")
