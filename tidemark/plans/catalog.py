@@ -392,4 +392,4 @@ def bootstrap_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.bootstrap(_simulated(spark, sf)), 8, "lo", "hi")
 
 
-from tidemark.plans import decisions, feeds, market, research, stateful  # noqa: E402, F401  they register their queries
+from tidemark.plans import decisions, feeds, market, research, stateful, versions  # noqa: E402, F401  they register their queries
