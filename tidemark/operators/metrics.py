@@ -99,7 +99,7 @@ def bootstrap(returns: DataFrame, by: str = "series_id", r: str = "net", draws:
 
 
 def har_forecasts(features: DataFrame, least: int = 22) -> DataFrame:
-    """(series_id, session, har_forecast): exp of the next log variance by least squares on the rows before, refit each row.
+    """(series_id, session, har_forecast): exp of the log variance by least squares on the lagged variances of the rows before, refit each row.
 
     The normal equations are running sums along the series, solved for all its rows at once; a row without full rank or
     with fewer than `least` rows before it has no forecast.
@@ -111,7 +111,9 @@ def har_forecasts(features: DataFrame, least: int = 22) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("session")
-        x, y = logs(pdf[lags].to_numpy(float)), logs(pdf["parkinson_rv"].to_numpy(float))
+        x, y = pdf[lags].to_numpy(float), logs(pdf["parkinson_rv"].to_numpy(float))
+        scale = np.nanmax(np.abs(np.where(np.isfinite(x), x, np.nan)), axis=0, initial=0.0)  # near 1; a fit does not depend on it
+        x = x / np.where(scale > 0, scale, 1.0)
         row = np.column_stack([np.ones(len(x)), x])
         ready = np.isfinite(row).all(axis=1)
         known = ready & np.isfinite(y)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.frames import full as whole
 from tidemark.functions.frames import lag, rounded
-from tidemark.operators import engine, features, labels, metrics, models, overfitting, splits
+from tidemark.operators import engine, features, labels, metrics, models, overfitting, splits, volatility_study
 from tidemark.plans.registry import ANCHOR, BARS, full, over, query
 from tidemark.sources import adapters
 
@@ -158,6 +158,16 @@ def volatility_selection(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(models.selected(models.forecast_losses(df, "parkinson_rv", ["rw", "week", "month"], "series_id"), "series_id"), 6, "qlike", "mse_log", "gap_best", "gap_reference")
 
 
+@query("volatility_walk_forward")
+def volatility_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
+    """The candidates refit on common folds, their losses on both targets and the choice: a row a priority and candidate."""
+    bars = adapters.order_bars(spark, sf)
+    level = features.level_scores(bars).select("series_id", "session", "level", "level_zscore", "level_percentile")
+    rows = volatility_study.sample(bars).where("excluded is null").join(level, ["series_id", "session"], "left")
+    got = volatility_study.selection(volatility_study.losses(volatility_study.walk_forward(rows)))
+    return rounded(got, 6, *(f"{c}_{k}" for c in ("qlike", "gap_best", "gap_rw") for k in (1, 2)))
+
+
 def _design(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     bars = adapters.order_bars(spark, sf, anchor=True)
     t = features.technical(bars)
