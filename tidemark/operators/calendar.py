@@ -106,6 +106,12 @@ def days_between(spark: SparkSession, first: str, last: str) -> DataFrame:
     return spark.sql(f"SELECT explode(sequence(DATE'{first}', DATE'{last}')) AS day")
 
 
+def days_of(rows: DataFrame, day: str) -> DataFrame:
+    """(day) of all the months from the first to the last day of rows."""
+    ends = rows.agg(F.trunc(F.min(F.col(day).cast("date")), "month").alias("a"), F.last_day(F.max(F.col(day).cast("date"))).alias("b"))
+    return ends.select(F.explode(F.sequence("a", "b")).alias("day"))
+
+
 def signals(days: DataFrame) -> DataFrame:
     """(day, event) of a calendar: closed, half_day, opex, witching, roll, meeting, dst_mismatch."""
     flags = [

@@ -105,7 +105,7 @@ def random_control(sessions: DataFrame, frequency: Fraction, seed: int, most: in
 
 def exit_counts(got: DataFrame, *by: str) -> DataFrame:
     """Trades by reason of exit, with the mean, median and sum of their declared result."""
-    return got.where("status = 'traded'").groupBy(*by, "exit_reason").agg(F.count("*").alias("n"), F.avg("pnl_declared").alias("mean_pnl"), F.sum("pnl_declared").alias("sum_pnl"))
+    return got.where("status = 'traded'").groupBy(*by, "exit_reason").agg(F.count("*").alias("n"), F.avg("pnl_declared").alias("mean_pnl"), F.median("pnl_declared").alias("median_pnl"), F.sum("pnl_declared").alias("sum_pnl"))
 
 
 def conserved(got: DataFrame, *by: str) -> DataFrame:

@@ -39,9 +39,9 @@ def session_exits(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rounded(got, 4, "exit_px"), 6, "gross", "pnl_declared", "pnl_net").select("session", "side", "status", "exit_reason", "exit_bar", "exit_px", "gross", "pnl_declared", "pnl_net")
 
 
-@query("exit_counts", f"WITH {_DECIDED} SELECT exit_reason, count(*) AS n, round(avg(gross - 0.000042), 6) AS mean_pnl, round(sum(gross - 0.000042), 4) AS sum_pnl FROM res WHERE status = 'traded' GROUP BY exit_reason")
+@query("exit_counts", f"WITH {_DECIDED} SELECT exit_reason, count(*) AS n, round(avg(gross - 0.000042), 6) AS mean_pnl, round(median(gross - 0.000042), 6) AS median_pnl, round(sum(gross - 0.000042), 4) AS sum_pnl FROM res WHERE status = 'traded' GROUP BY exit_reason")
 def exit_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(rounded(engine.exit_counts(engine.outcomes(_decided(spark, sf), _path(spark, sf))), 6, "mean_pnl"), 4, "sum_pnl")
+    return rounded(rounded(engine.exit_counts(engine.outcomes(_decided(spark, sf), _path(spark, sf))), 6, "mean_pnl", "median_pnl"), 4, "sum_pnl")
 
 
 @query("run_conservation", f"WITH {_DECIDED} SELECT CAST(year(session) AS INTEGER) AS year, count(*) AS n_sessions, count_if(status = 'traded') AS n_traded, count_if(status = 'no_trade') AS n_no_trade, count_if(status = 'skipped') AS n_skipped, true AS sound FROM res GROUP BY 1")

@@ -51,14 +51,14 @@ def near_headlines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "first_vintages",
-    """WITH v AS (SELECT l_returnflag AS series_id, CAST(l_shipdate AS DATE) AS date, CAST(l_shipdate AS DATE) + CAST(l_linenumber AS INTEGER) AS realtime_start, max(CASE WHEN l_quantity <= 30 THEN l_quantity END) AS value FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2, 3)
+    """WITH v AS (SELECT l_returnflag AS series_id, CAST(l_shipdate AS DATE) AS date, CAST(l_shipdate AS DATE) + CAST(l_linenumber AS INTEGER) AS realtime_start, max(CASE WHEN l_quantity <= 30 THEN l_quantity END) AS value FROM lineitem GROUP BY 1, 2, 3)
     SELECT series_id, date, min(realtime_start) FILTER (value IS NOT NULL) AS realtime_start, arg_min(value, realtime_start) FILTER (value IS NOT NULL) AS value FROM v GROUP BY 1, 2""",
 )
 def first_vintages(spark: SparkSession, sf: str) -> DataFrame:
     """Vintages written as payloads, a reference month each, and read back."""
     day = F.col("l_shipdate").cast("date")
     value = F.max(F.when(F.col("l_quantity") <= 30, F.col("l_quantity")))
-    rows = adapters.table(spark, sf, "lineitem").where("l_returnflag <> 'N'").groupBy(F.col("l_returnflag").alias("series_id"), day.alias("date"), F.date_add(day, F.col("l_linenumber")).alias("realtime_start")).agg(value.alias("value"))
+    rows = adapters.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("series_id"), day.alias("date"), F.date_add(day, F.col("l_linenumber")).alias("realtime_start")).agg(value.alias("value"))
     text = F.coalesce(F.col("value").cast("string"), F.lit("."))
     observation = F.struct(F.col("realtime_start").cast("string").alias("realtime_start"), F.lit("9999-12-31").alias("realtime_end"), F.col("date").cast("string").alias("date"), text.alias("value"))
     payloads = rows.groupBy("series_id", F.trunc("date", "month").alias("m")).agg(F.to_json(F.struct(F.collect_list(observation).alias("observations"))).alias("payload"))

@@ -41,7 +41,7 @@ def context_pending_row(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(got.select("session", "asia_overnight_1", "europe_prev_1", "dxy_ret_1"), 6, "asia_overnight_1", "europe_prev_1", "dxy_ret_1")
 
 
-_OBS = """obs AS (SELECT ['DFF', 'DGS10', 'DGS2', 'T10Y2Y', 'CPIAUCSL', 'PCEPI'][l_linenumber] AS series_id, CAST(l_shipdate AS DATE) AS reference, CAST(l_shipdate AS DATE) + CAST(l_linenumber AS INTEGER) AS published, max(l_extendedprice) AS value FROM lineitem WHERE l_linenumber <= 6 GROUP BY 1, 2, 3)"""
+_OBS = """obs AS (SELECT ['DFF', 'DGS10', 'DGS2', 'T10Y2Y', 'CPIAUCSL', 'PCEPI', 'UNRATE'][l_linenumber] AS series_id, CAST(l_shipdate AS DATE) AS reference, CAST(l_shipdate AS DATE) + CAST(l_linenumber AS INTEGER) AS published, max(l_extendedprice) AS value FROM lineitem  GROUP BY 1, 2, 3)"""
 _MACRO = tuple(c for n in matrices.MACRO for c in (n, f"{n}_chg_5"))
 _MACRO_SQL = ", ".join(f"{of(s, 'level')} AS {n}, {of(s, 'chg')} AS {n}_chg_5" for n, s in matrices.MACRO.items())
 
@@ -262,7 +262,7 @@ def clean_sample(spark: SparkSession, sf: str) -> DataFrame:
     return got.where("n >= 250")
 
 
-_DAYS = """d AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS day),
+_DAYS = """d AS (SELECT CAST(unnest(generate_series(CAST(date_trunc('month', min(o_orderdate)) AS TIMESTAMP), CAST(last_day(max(o_orderdate)) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM orders),
     y AS (SELECT *, year(day) AS y, CAST(date_trunc('month', day) AS DATE) AS m1, make_date(year(day), 1, 1) AS j1 FROM d),
     e AS (SELECT *, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y), e2 AS (SELECT *, (19 * a + b - b // 4 - (8 * b + 13) // 25 + 15) % 30 AS h FROM e), e3 AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM e2), e4 AS (SELECT *, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS p FROM e3),
     f AS (SELECT *, make_date(y, p // 31, p % 31 + 1) AS easter FROM e4), nth AS (SELECT *, CAST(m1 + CAST((1 - isodow(m1) + 7) % 7 AS INTEGER) AS DATE) AS mon1, CAST(m1 + CAST((4 - isodow(m1) + 7) % 7 AS INTEGER) AS DATE) AS thu1, CAST(m1 + CAST((5 - isodow(m1) + 7) % 7 AS INTEGER) AS DATE) AS fri1 FROM f),
@@ -273,23 +273,28 @@ _DAYS = """d AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1995-01-01', TIME
     s AS (SELECT *, reason IS NULL AS is_session, reason IS NULL AND ((month(day) = 12 AND day(day) = 24) OR (month(day) = 7 AND day(day) = 3) OR (month(day) = 11 AND day = thu1 + 22)) AS is_half_day FROM r)"""
 
 
+def _order_days(spark: SparkSession, sf: str) -> DataFrame:
+    return calendar.days_of(adapters.table(spark, sf, "orders"), "o_orderdate")
+
+
 @query(
     "market_calendar",
     f"""WITH {_DAYS} SELECT day, reason, is_session, is_half_day, CAST(CASE WHEN NOT is_session THEN 0.0 WHEN is_half_day THEN 3.5 ELSE 6.5 END AS DOUBLE) AS hours, last_value(CASE WHEN is_session THEN day END IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_session,
         first_value(CASE WHEN is_session THEN day END IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_session, is_session AND coalesce(day = max(CASE WHEN is_session AND day <= fri1 + 14 THEN day END) OVER (PARTITION BY m1), false) AS is_opex FROM s""",
 )
 def market_calendar(spark: SparkSession, sf: str) -> DataFrame:
-    got = calendar.calendar(calendar.days_between(spark, "1995-01-01", "2001-12-31"))
+    """The calendar of the months in which there are orders."""
+    got = calendar.calendar(_order_days(spark, sf))
     return got.select("day", F.when(F.col("reason") == "weekend", F.col("reason")).otherwise(F.col("reason")).alias("reason"), "is_session", "is_half_day", "hours", "previous_session", "next_session", "is_opex")
 
 
 @query(
     "session_hours_utc",
-    """WITH d AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1999-01-01', TIMESTAMP '2000-12-31', INTERVAL 1 DAY)) AS DATE) AS day), m AS (SELECT *, make_date(year(day), 3, 1) AS m3, make_date(year(day), 4, 1) AS m4, make_date(year(day), 10, 31) AS o31 FROM d),
+    """WITH d AS (SELECT CAST(unnest(generate_series(CAST(date_trunc('month', min(o_orderdate)) AS TIMESTAMP), CAST(last_day(max(o_orderdate)) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM orders), m AS (SELECT *, make_date(year(day), 3, 1) AS m3, make_date(year(day), 4, 1) AS m4, make_date(year(day), 10, 31) AS o31 FROM d),
     z AS (SELECT *, day >= m4 + CAST((7 - isodow(m4)) % 7 AS INTEGER) AND day < o31 - CAST(isodow(o31) % 7 AS INTEGER) AS summer FROM m)
     SELECT day, CAST(day AS TIMESTAMP) + INTERVAL 30 MINUTE + CASE WHEN summer THEN INTERVAL 13 HOUR ELSE INTERVAL 14 HOUR END AS open_utc FROM z WHERE isodow(day) < 6""",
 )
 def session_hours_utc(spark: SparkSession, sf: str) -> DataFrame:
     """Opening instants across clock changes; before 2007 summer time ran from April to October."""
-    days = calendar.days_between(spark, "1999-01-01", "2000-12-31").where(F.weekday("day") < 5)
+    days = _order_days(spark, sf).where(F.weekday("day") < 5)
     return days.select("day", calendar.utc(F.col("day"), calendar.OPEN).cast("timestamp_ntz").alias("open_utc"))

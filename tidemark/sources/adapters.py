@@ -74,13 +74,13 @@ def market_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(rows, F.col("s"), F.col("o_orderdate"), "o_totalprice", "o_orderkey")
 
 
-BY_LINE = ("DFF", "DGS10", "DGS2", "T10Y2Y", "CPIAUCSL", "PCEPI")
+BY_LINE = ("DFF", "DGS10", "DGS2", "T10Y2Y", "CPIAUCSL", "PCEPI", "UNRATE")
 
 
 def macro_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series_id, reference, published, value) by line number: published as many days after the reference, the largest value of a day."""
     day = F.col("l_shipdate").cast("date")
-    raw = table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") <= len(BY_LINE))
+    raw = table(spark, sf_dir, "lineitem")
     return raw.groupBy(F.get(F.array(*map(F.lit, BY_LINE)), F.col("l_linenumber") - 1).alias("series_id"), day.alias("reference"), F.date_add(day, F.col("l_linenumber")).alias("published")).agg(F.max("l_extendedprice").alias("value"))
 
 
