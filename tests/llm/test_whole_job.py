@@ -141,3 +141,30 @@ def test_compression_decides_as_the_plain_version(monkeypatch):
     assert got == [plain_scan(t, notices) for t in texts]
     monkeypatch.setattr(license_scan.Scanner, "ranked", lambda self, words: [(1.0, k) for k in range(len(self.templates))])
     assert run() != got
+
+
+def test_strangers_in_a_hot_bucket_meet_all_of_it(spark):
+    """A group of near copies with strangers among its bands: the components are those of all pairs, in blocks of any size."""
+    from tidemark.llm import near_dedup
+
+    base = filler(900, 300).split()
+    texts = []
+    for k in range(60):  # near copies of one text
+        w = list(base)
+        w[5 * k % 300] = f"x{k}"
+        texts.append(" ".join(w))
+    for k in range(6):  # strangers at about the threshold, alike in pairs
+        w = list(base)
+        for j in range(14 + k % 3):
+            w[(j * 20 + k // 2 * 7) % 300] = f"y{k // 2}-{j}"
+        texts.append(" ".join(w))
+    sets = [frozenset(zip(t.split(), t.split()[1:], t.split()[2:], strict=False)) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    got = near_dedup.near_components(docs(spark, texts), words=3, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label)) and len(set(label)) > 1
