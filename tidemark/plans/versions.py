@@ -84,11 +84,11 @@ def dominance_by_interval(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "label_exclusions",
-    f"""WITH {ANCHOR.replace('bars AS', 'anchor AS')}, {_DAYS}, b AS (SELECT *, lag(close) OVER o AS cb, lag(abs(ln(close / open))) OVER o AS own, session >= DATE '1998-01-01' AS late FROM anchor WINDOW o AS (ORDER BY session)),
-    x AS (SELECT b.*, s.is_half_day, CASE WHEN NOT s.is_session THEN 'no_session' WHEN open = cb THEN 'stale_open' END AS why FROM b JOIN s ON day = session WHERE cb IS NOT NULL),
-    g AS (SELECT *, last_value(CASE WHEN why IS NULL AND NOT is_half_day AND NOT late THEN own END IGNORE NULLS) OVER (ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x),
-    h AS (SELECT *, CASE WHEN is_half_day THEN before * sqrt(3.5 / 6.5) ELSE own END AS sg FROM g), r AS (SELECT *, coalesce(why, CASE WHEN sg IS NULL THEN 'no_forecast' END, CASE WHEN late THEN 'not_closed' END) AS reason FROM h)
-    SELECT coalesce(reason, 'labelled') AS reason, CASE WHEN reason IS NULL THEN is_half_day END AS is_half_day, count(*) AS n, min(session) AS first, max(session) AS last, round(avg(CASE WHEN reason IS NULL THEN sg END), 6) AS mean_sigma FROM r GROUP BY 1, 2""",
+    f"""WITH {ANCHOR.replace('bars AS', 'anchor AS')}, {_DAYS}, z1 AS (SELECT *, lag(close) OVER o AS cb, lag(abs(ln(close / open))) OVER o AS own, session >= DATE '1998-01-01' AS late FROM anchor WINDOW o AS (ORDER BY session)),
+    z2 AS (SELECT z1.*, s.is_half_day, CASE WHEN NOT s.is_session THEN 'no_session' WHEN open = cb THEN 'stale_open' END AS why FROM z1 JOIN s ON day = session WHERE cb IS NOT NULL),
+    z3 AS (SELECT *, last_value(CASE WHEN why IS NULL AND NOT is_half_day AND NOT late THEN own END IGNORE NULLS) OVER (ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM z2),
+    z4 AS (SELECT *, CASE WHEN is_half_day THEN before * sqrt(3.5 / 6.5) ELSE own END AS sg FROM z3), z5 AS (SELECT *, coalesce(why, CASE WHEN sg IS NULL THEN 'no_forecast' END, CASE WHEN late THEN 'not_closed' END) AS reason FROM z4)
+    SELECT coalesce(reason, 'labelled') AS reason, CASE WHEN reason IS NOT NULL THEN '' WHEN is_half_day THEN 'previous' ELSE 'forecast' END AS carrier, count(*) AS n, min(session) AS first, max(session) AS last, round(avg(CASE WHEN reason IS NULL THEN sg END), 6) AS mean_sigma FROM z5 GROUP BY 1, 2""",
 )
 def label_exclusions(spark: SparkSession, sf: str) -> DataFrame:
     """Why sessions of the anchor have no label, and the sigma of those that can have one; short sessions by the root of their hours."""
@@ -98,5 +98,5 @@ def label_exclusions(spark: SparkSession, sf: str) -> DataFrame:
     own = F.lag(F.abs(F.log(F.col("close") / F.col("open")))).over(Window.partitionBy("series_id").orderBy("session"))
     sigmas = bars.select("series_id", "session", own.alias("sigma"))
     got = label_history.sample(bars, calendar.calendar(calendar.days_of(adapters.table(spark, sf, "orders"), "o_orderdate")), sigmas, "1998-01-01 00:00:00")
-    by = got.groupBy(F.coalesce("reason", F.lit("labelled")).alias("reason"), F.when(F.col("reason").isNull(), F.col("is_half_day")).alias("is_half_day"))
+    by = got.groupBy(F.coalesce("reason", F.lit("labelled")).alias("reason"), F.coalesce("carrier", F.lit("")).alias("carrier"))
     return rounded(by.agg(F.count("*").alias("n"), F.min("session").alias("first"), F.max("session").alias("last"), F.avg("sigma").alias("mean_sigma")), 6, "mean_sigma")
