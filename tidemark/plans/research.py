@@ -160,8 +160,8 @@ def volatility_selection(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("volatility_walk_forward")
 def volatility_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
-    """The candidates refit on common folds, their losses on both targets and the choice: a row a priority and candidate."""
-    bars = adapters.order_bars(spark, sf)
+    """The candidates refit on common folds, their losses on both targets and the choice: a row a series (each priority, and all orders) and candidate."""
+    bars = adapters.order_bars(spark, sf).unionByName(adapters.order_bars(spark, sf, anchor=True))
     level = features.level_scores(bars).select("series_id", "session", "level", "level_zscore", "level_percentile")
     rows = volatility_study.sample(bars).where("excluded is null").join(level, ["series_id", "session"], "left")
     got = volatility_study.selection(volatility_study.losses(volatility_study.walk_forward(rows)))
