@@ -143,7 +143,7 @@ def with_overlay(p: Column, adjustment_pct: Column) -> Column:
     return F.when(adjustment_pct.isNull(), p).otherwise(F.greatest(F.least(p + bounded / 100, F.lit(1.0)), F.lit(0.0)))
 
 
-def staleness(sessions: DataFrame, absence_days: int = 30, observation: int = 5) -> DataFrame:
+def staleness(sessions: DataFrame, absence_days: int = 7, observation: int = 5) -> DataFrame:
     """sessions (day, is_session, previous_session, snapshot_session, last_execution, sessions_since) with guard and observation_left.
 
     guard: closed, missing, stale (the snapshot is older than the session before), ahead, or proceed. After an absence
