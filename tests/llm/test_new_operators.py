@@ -137,6 +137,26 @@ def test_variants_of_nothing(spark):
     assert spelling_variants.spelling_variants(docs(spark, [(1, None, None), (2, "", None), (3, "1 2 3", None)])).count() == 0
 
 
+def test_variants_send_no_table_to_the_driver(spark, monkeypatch):
+    """Spark takes the exploded sides for tables as small as their staged files; none may be broadcast, planned or adapted."""
+    plans, staged = [], spelling_variants.staged
+
+    def planned(df):
+        got = df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return got
+
+    def watched(df, name):
+        planned(df)
+        return staged(df, name)
+
+    monkeypatch.setattr(spelling_variants, "staged", watched)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"  # Spark's own
+    assert planned(spelling_variants.spelling_variants(docs(spark, spelled())))
+    assert sum("SortMergeJoin" in p for p in plans) >= 4  # near words, forms, roots, result
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 def good_and_bad(n, seed):
     """Plain prose, and prose of which a part is shouted or symbols: the label says of the document alone that it holds some."""
     rng, rows = np.random.default_rng(seed), []
