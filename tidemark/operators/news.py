@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import normalised, suspicious, title_hash
+from tidemark.functions.text import like_one_kept, normalised, suspicious, title_hash
 
 HOURS, FUZZY = 24, 0.9
 
@@ -35,25 +35,28 @@ def first_of_each(prepared_: DataFrame, known: DataFrame | None = None) -> DataF
     return df
 
 
-def nearly_same(fresh: DataFrame, threshold: float = FUZZY, by: str = "block") -> DataFrame:
+def nearly_same(fresh: DataFrame, threshold: float = FUZZY, by: str = "block", order: tuple[str, ...] = ("published_at", "title")) -> DataFrame:
     """fresh rows (block, published_at, title, normal) with near_duplicate: too similar to a title kept before it in its block.
 
     The rule depends on the order, so a block is one task; a block is what the caller can bound, such as an hour of a feed.
+    Equal rows of the order count as they come: give it a column that tells them apart. Rows without normal are like none.
     """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold: over 0 and at most 1")
     kind = fresh.schema.simpleString()[len("struct<") : -1]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["published_at", "title"])
-        kept: list[str] = []
-        flags = []
-        for normal in pdf["normal"]:
-            near = any(difflib.SequenceMatcher(None, normal, k).ratio() >= threshold for k in kept if 2 * min(len(k), len(normal)) >= threshold * (len(k) + len(normal)))
-            flags.append(near)
-            if not near:
-                kept.append(normal)
-        return pdf.assign(near_duplicate=flags)
-
-    return fresh.groupBy(by).applyInPandas(run, f"{kind}, near_duplicate boolean")
+    def run(rows: pa.Table) -> pa.Table:
+        ranked = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in order], null_placement="at_end")
+        normals = rows["normal"].take(ranked).to_pylist()
+        first = list(dict.fromkeys(t for t in normals if t is not None))
+        near = dict(zip(first, like_one_kept(first, threshold), strict=True))
+        flags = np.zeros(len(normals), bool)
+        for at, normal in zip(ranked.to_pylist(), normals, strict=True):
+            if normal is not None:
+                flags[at], near[normal] = near[normal], True
+        return rows.append_column("near_duplicate", pa.array(flags))
+
+    return fresh.groupBy(by).applyInArrow(run, f"{kind}, near_duplicate boolean")
 
 
 def batch(headlines: DataFrame, at: str, known: DataFrame | None = None, hours: int = HOURS, most_chars: int = 200) -> DataFrame:

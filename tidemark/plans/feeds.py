@@ -46,7 +46,7 @@ def headline_batch_counts(spark: SparkSession, sf: str) -> DataFrame:
 def near_headlines(spark: SparkSession, sf: str) -> DataFrame:
     """Headlines of an hour of a feed that are nearly one before them."""
     h = news.prepared(adapters.headlines(spark, sf)).withColumn("block", F.concat_ws("|", "feed", F.date_trunc("HOUR", F.col("published_at")).cast("string")))
-    return news.nearly_same(h.select("block", "doc_id", "published_at", "title", "normal")).select("doc_id", "near_duplicate")
+    return news.nearly_same(h.select("block", "doc_id", "published_at", "title", "normal"), order=("published_at", "title", "doc_id")).select("doc_id", "near_duplicate")
 
 
 @query(
