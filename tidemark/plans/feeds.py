@@ -120,10 +120,13 @@ def publications_by_day(spark: SparkSession, sf: str) -> DataFrame:
 def premarket_gap(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
-    e = adapters.table(spark, sf, "events").select(F.col("event_type").alias("series_id"), F.col("ts").alias("at"), F.col("value").alias("price"))
-    c = e.groupBy("series_id", F.to_date("at").alias("session")).agg(F.max_by("price", "at").alias("c"))
-    c = c.select("series_id", "session", F.lag("c").over(Window.partitionBy("series_id").orderBy("session")).alias("previous_close"))
-    got = formats.premarket_gap(e, c, zone="UTC").select("series_id", "session", "last", "close", "gap_pct")
+    e = adapters.table(spark, sf, "events").select(F.col("event_type").alias("series_id"), F.col("ts").alias("at"), F.col("value").alias("price"), "event_id")
+    # As arg_max does: of events at one instant the first counts, and a null price or instant never.
+    order = ("at", -F.col("event_id"))
+    known = F.when(F.col("price").isNotNull() & F.col("at").isNotNull(), F.struct(*order))
+    c = e.groupBy("series_id", F.to_date("at").alias("session")).agg(F.max_by("price", known).alias("c"))
+    c = c.select("series_id", "session", F.lag("c").over(Window.partitionBy("series_id").orderBy(F.asc_nulls_last("session"))).alias("previous_close"))
+    got = formats.premarket_gap(e, c, zone="UTC", order=order).select("series_id", "session", "last", "close", "gap_pct")
     return rounded(rounded(got, 6, "last", "close"), 4, "gap_pct")
 
 

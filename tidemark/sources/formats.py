@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import lzma
 from collections.abc import Iterator
+from datetime import time
 
 import numpy as np
 import pandas as pd
@@ -107,12 +108,15 @@ def last_tick(ticks: DataFrame, at: Column) -> DataFrame:
     return ticks.where(F.col("at") <= at).groupBy("series_id").agg(F.max_by(F.struct("at", "ask", "bid"), "at").alias("x")).select("series_id", "x.*")
 
 
-def premarket_gap(ticks: DataFrame, closes: DataFrame, clock: str = "08:45:00", zone: str = NEW_YORK) -> DataFrame:
+def premarket_gap(ticks: DataFrame, closes: DataFrame, clock: str = "08:45:00", zone: str = NEW_YORK, order: tuple[str | Column, ...] = ("at",)) -> DataFrame:
     """(series_id, session, at, last, close, gap_pct): the last price up to a local time before the open against the close before.
 
-    ticks: (series_id, at, price); closes: (series_id, session, previous_close). A session without a tick has nulls.
+    ticks: (series_id, at, price); closes: (series_id, session, previous_close). A session without a tick has nulls. A fraction of a
+    second after the time is after it. order: columns of ticks, the last in which counts; beyond `at` they tell ticks of one instant apart.
     """
     local = F.from_utc_timestamp(F.col("at").cast("timestamp"), zone)
-    early = ticks.where(F.date_format(local, "HH:mm:ss") <= clock).where("price > 0").groupBy("series_id", F.to_date(local).alias("session")).agg(F.max_by(F.struct("at", "price"), "at").alias("x"))
+    until = time.fromisoformat(clock).isoformat("microseconds")
+    before = ticks.where(F.date_format(local, "HH:mm:ss.SSSSSS") <= until).where("price > 0")
+    early = before.groupBy("series_id", F.to_date(local).alias("session")).agg(F.max_by(F.struct("at", "price"), F.struct(*order)).alias("x"))
     got = closes.join(early, ["series_id", "session"], "left")
     return got.select("series_id", "session", "x.at", F.col("x.price").alias("last"), F.col("previous_close").alias("close"), ((F.try_divide(F.col("x.price"), F.col("previous_close")) - 1) * 100).alias("gap_pct"))
